@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +28,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/lodestar/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def schema_with(df: DataFrame, columns: Sequence[str], more: str) -> StructType:
+    """The fields of ``df`` named in ``columns``, then those of the schema string ``more``."""
+    return StructType([*(df.schema[c] for c in columns), *StructType.fromDDL(more)])
