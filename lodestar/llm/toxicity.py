@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lodestar.llm.store import written
-from lodestar.llm.tokens import WORD_BYTES, blocks, word_hashes
+from lodestar.llm.tokens import WORD_BYTES, blocks, mixed, word_hashes
 
 #: Labelled documents that the model is fitted on: those whose ids hash lowest.
 MAX_LABELLED = 20_000
@@ -25,6 +26,8 @@ MARKER_SHARE = 0.8
 PENALTY = 1e-3
 STEPS = 400
 TOXIC_FROM = 0.5
+#: Two labelled documents count as one if one of so many lowest hashes of their three-word shingles agrees.
+N_LOWEST = 8
 
 
 def counted(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -98,8 +101,31 @@ def association(toxic_with: np.ndarray, with_word: np.ndarray, toxic: int, total
     return 2 * (cells * np.log(np.where(cells > 0, cells * total / np.maximum(rows * cols, 1), 1.0))).sum(axis=0)
 
 
+def lowest_hashes(words: np.ndarray) -> list[int]:
+    """The lowest hash of the three-word shingles (of the words, if there are fewer) under each of N_LOWEST functions."""
+    s = words[:-2] * np.uint64(3) + words[1:-1] * np.uint64(5) + words[2:] * np.uint64(7) if len(words) > 2 else words
+    return [int(mixed(s ^ np.uint64(i)).min(initial=np.uint64((1 << 64) - 1)).view(np.int64)) for i in range(N_LOWEST)]
+
+
+def first_of_copies(lowest: list[list[int]]) -> list[int]:
+    """Positions of the first of each group of rows that are connected by equal hashes in equal places."""
+    top = list(range(len(lowest)))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    seen: dict[tuple[int, int], int] = {}
+    for row, hashes in enumerate(lowest):
+        for x in enumerate(hashes):
+            a, b = sorted((find(row), find(seen.setdefault(x, row))))
+            top[b] = a
+    return [i for i in range(len(lowest)) if find(i) == i]
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> OrdinalModel:
-    """Fit on at most MAX_LABELLED labelled documents, of which near copies (by their lowest three-word hash) count once."""
+    """Fit on at most MAX_LABELLED labelled documents, of which near copies count once."""
     key_type = docs.schema[key].dataType.simpleString()
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("__y"))
@@ -109,25 +135,25 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").lower().encode() for t in batch.column(1).to_pylist()]
-            least = []
+            lowest = []
             for at, to in blocks(texts):
                 hashes, owners = word_hashes(texts[at:to], WORD_BYTES)
                 first = np.searchsorted(owners, np.arange(to - at + 1))
-                for i in range(to - at):
-                    h = hashes[first[i] : first[i + 1]]
-                    s = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7) if len(h) > 2 else h
-                    least.append(int((s * np.uint64(0x9E3779B97F4A7C15)).min(initial=np.uint64((1 << 64) - 1)).view(np.int64)))
+                lowest += [lowest_hashes(hashes[first[i] : first[i + 1]]) for i in range(to - at)]
             pairs = list(counted(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(least, pa.int64()), pa.array([h.view(np.int64) for h, _ in pairs], pa.list_(pa.int64())), pa.array([c for _, c in pairs], pa.list_(pa.int64()))],
-                names=["key", "y", "least", "words", "counts"],
+                [batch.column(0), batch.column(2), pa.array(lowest, pa.list_(pa.int64())), pa.array([h.view(np.int64) for h, _ in pairs], pa.list_(pa.int64())), pa.array([c for _, c in pairs], pa.list_(pa.int64()))],
+                names=["key", "y", "lowest", "words", "counts"],
             )
 
     # at most MAX_LABELLED rows of a key and a label
-    sample = docs.join(F.broadcast(chosen), key).select(key, text, "__y").mapInArrow(featurised, f"key {key_type}, y int, least long, words array<long>, counts array<long>")
+    sample = docs.join(F.broadcast(chosen), key).select(key, text, "__y").mapInArrow(featurised, f"key {key_type}, y int, lowest array<long>, words array<long>, counts array<long>")
     sample = written(sample)
-    one = sample.groupBy("least").agg(F.min_by(F.struct("y", "words", "counts"), F.struct("key", F.xxhash64("words"))).alias("r")).select("r.*")
-    one = written(one)
+    heads = sample.select("key", "lowest").distinct().toArrow().to_pylist()
+    heads.sort(key=lambda r: (r["key"], r["lowest"]))
+    firsts = [(heads[i]["key"],) for i in first_of_copies([r["lowest"] for r in heads])]
+    firsts = docs.sparkSession.createDataFrame(firsts, StructType([StructField("key", docs.schema[key].dataType)]))
+    one = written(sample.dropDuplicates(["key"]).join(F.broadcast(firsts.distinct()), "key", "left_semi").select("y", "words", "counts"))
     total, toxic = (int(x or 0) for x in one.agg(F.count(F.lit(1)), F.sum(F.col("y").cast("boolean").cast("int"))).first())
     by_word = (
         one.select(F.explode("words").alias("w"), F.col("y").cast("boolean").cast("int").alias("t")).groupBy("w")
@@ -150,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             for y, h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 h, c = np.array(h, np.int64).view(np.uint64), np.array(c, np.int64)
                 at, value = empty.features(h, c)
-                out.append((y, int(c[np.isin(h, markers)].sum()), at, value))
+                out.append((y, int(c[np.isin(h, markers)].sum()), at.tolist(), value.tolist()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())), strict=True)], names=["y", "m", "at", "v"])
 
