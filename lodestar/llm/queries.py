@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontamination, licenses, packing, quality, secrets, sharding, simhash, toxicity
+from lodestar.llm import decontamination, licenses, packing, quality, secrets, sharding, simhash, suffix_tree_lm, toxicity
 
 N_SHARDS = 24
 
@@ -46,12 +46,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_decontamination, op4_toxicity, op5_secrets, op6_licenses, op7_simhash, op8_quality, op10_sharding]
+    found = [op1_packing, op2_decontamination, op4_toxicity, op5_secrets, op6_licenses, op7_simhash, op8_quality, op9_suffix_tree_lm, op10_sharding]
     return {f.__name__: f for f in found}
 
 

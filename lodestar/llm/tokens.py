@@ -66,3 +66,30 @@ def word_hashes(texts: Sequence[bytes], is_word: np.ndarray) -> tuple[np.ndarray
     starts, ends = edges[::2], edges[1::2]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     return span_hashes(prefix_hashes(data), starts, ends), np.searchsorted(np.cumsum(lengths), starts, side="right")
+
+
+class Lookup:
+    """Positions of 64-bit hashes in a sorted array without repeats, by their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(1, int(len(keys)).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        counts = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The position of each hash, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        if not len(self.keys):
+            return out
+        bucket = (hashes >> self.shift).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            hit = self.keys[at] == hashes[left]
+            out[left[hit]] = at[hit]
+            on = ~hit & (at + 1 < end)
+            left, at, end = left[on], at[on] + 1, end[on]
+        return out
