@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontamination, licenses, packing, quality, secrets, sharding, simhash, suffix_tree_lm, toxicity
+from lodestar.llm import decontamination, licenses, packing, quality, secrets, sharding, simhash, substring_dedup, suffix_tree_lm, toxicity
 
 N_SHARDS = 24
 
@@ -24,6 +24,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -55,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_decontamination, op4_toxicity, op5_secrets, op6_licenses, op7_simhash, op8_quality, op9_suffix_tree_lm, op10_sharding]
+    found = [op1_packing, op2_decontamination, op3_suffix_dedup, op4_toxicity, op5_secrets, op6_licenses, op7_simhash, op8_quality, op9_suffix_tree_lm, op10_sharding]
     return {f.__name__: f for f in found}
 
 
