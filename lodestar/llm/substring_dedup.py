@@ -18,9 +18,9 @@ LENGTH = 100
 #: A string of LENGTH bytes is placed by the lowest hash of the so long strings in it.
 GRAM = 32
 #: Text that is read together; the documents of a bucket are one group.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 #: Text of a suffix array.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Lowest grams found in more places than this are common: their strings are placed by their own hashes.
 COMMON = 50_000
 _PIECE = 1 << 20
@@ -205,6 +205,10 @@ class Shard:
         return np.ascontiguousarray(rows).view(f"S{LENGTH}").ravel()
 
 
+#: Document, text hash, start and bucket of a segment.
+Place = list[int]
+
+
 class Merged:
     """Shards of one key, whose equal strings are found by binary search as each shard is added."""
 
@@ -230,18 +234,18 @@ class Merged:
 _REPEATS = ["__bucket", "d", "x", "start", "n"]
 
 
-def shard_repeats(table: pa.Table, merged: Merged | None = None) -> Iterator[pa.RecordBatch]:
+def shard_repeats(held: dict[bytes, Place], merged: Merged | None = None) -> Iterator[pa.RecordBatch]:
     """Runs of starts of the strings of some segments that stand earlier in them, or in the shards merged so far."""
-    table = table.sort_by([("d", "ascending"), ("x", "ascending"), ("start", "ascending")])
-    cols = {c: table[c].to_numpy() for c in ("__bucket", "d", "x", "start")}
-    shard = Shard(table["body"].to_pylist())
+    bodies = sorted(held, key=held.__getitem__)
+    d, x, start, bucket = np.array([held[b] for b in bodies], np.int64).reshape(-1, 4).T
+    shard = Shard(bodies)
     found = shard.at != shard.first[shard.group]
     if merged is not None and len(shard.at):
         firsts = np.flatnonzero(~found)
         firsts = firsts[np.argsort(shard.group[firsts])]
         seg = shard.segment[firsts]
-        places = list(zip(cols["d"][seg].tolist(), cols["x"][seg].tolist(), (cols["start"][seg] + shard.offset[firsts]).tolist(), strict=True))
-        late, overtaken = merged.add(shard, shard.strings(shard.first), places, cols["__bucket"][seg])
+        places = list(zip(d[seg].tolist(), x[seg].tolist(), (start[seg] + shard.offset[firsts]).tolist(), strict=True))
+        late, overtaken = merged.add(shard, shard.strings(shard.first), places, bucket[seg])
         found[firsts[late]] = True
         if overtaken:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*overtaken, strict=True)), pa.array([1] * len(overtaken), pa.int64())], names=_REPEATS)
@@ -251,53 +255,62 @@ def shard_repeats(table: pa.Table, merged: Merged | None = None) -> Iterator[pa.
     new = np.flatnonzero(np.concatenate(([True], (seg[1:] != seg[:-1]) | (off[1:] != off[:-1] + 1)))[: len(rows)])
     s = seg[new]
     n = np.diff(np.concatenate((new, [len(rows)])))
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cols["__bucket"][s], cols["d"][s], cols["x"][s], cols["start"][s] + off[new], n)], names=_REPEATS)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket[s], d[s], x[s], start[s] + off[new], n)], names=_REPEATS)
 
 
 def repeats(batches: Iterator[pa.RecordBatch], most: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
     """From segments by k, the starts of repeated strings: rows bucket, d, x, start, n for runs of n starts.
 
-    Keys are put together in shards of about ``most`` bytes. A key with more gets shards of its own.
+    Of equal segments of a key the earliest goes on, and the others are repeated as a whole. A key with one segment
+    left has no other repeats, since equal strings of one segment would have their lowest gram in one place. The
+    segments of other keys are put together in shards of about ``most`` bytes; a key with more gets shards of its own.
     """
-    done: list[pa.Table] = []
-    current: list[pa.Table] = []
+    done: dict[bytes, Place] = {}
+    current: dict[bytes, Place] = {}
+    earliest: dict[bytes, Place] = {}  # of the current key, in this shard and past ones
     done_size = current_size = 0
     last, merged = None, Merged()
-
     for batch in batches:
         table = pa.Table.from_batches([batch])
         known = table["body"].is_null()
         if pa.compute.any(known).as_py():
             yield from table.filter(known).select(_REPEATS).combine_chunks().to_batches()
             table = table.filter(pa.compute.invert(known))
-        if not table.num_rows:
-            continue
-        k = table["k"].to_numpy()
-        total = np.concatenate(([0], np.cumsum(pa.compute.binary_length(table["body"]).to_numpy())))
-        edges = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True]))).tolist()
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if k[a] != last:
+        again: list[tuple[int, ...]] = []
+        for k, body, *place in zip(*(table[c].to_pylist() for c in ("k", "body", "d", "x", "start", "__bucket")), strict=True):
+            if k != last:
                 if merged.past:
                     if current:
-                        yield from shard_repeats(pa.concat_tables(current), merged)
+                        yield from shard_repeats(current, merged)
                     merged = Merged()
-                elif current_size:
-                    done += current
+                elif len(current) > 1:
+                    done |= current
                     done_size += current_size
                     if done_size >= most:
-                        yield from shard_repeats(pa.concat_tables(done))
-                        done, done_size = [], 0
-                current, current_size, last = [], 0, k[a]
-            current.append(table.slice(a, b - a))
-            current_size += int(total[b] - total[a])
+                        yield from shard_repeats(done)
+                        done, done_size = {}, 0
+                current, earliest, current_size, last = {}, {}, 0, k
+            other = earliest.setdefault(body, place)
+            if other is not place:
+                first, second = sorted((other, place))
+                again.append((second[3], *second[:3], len(body) - LENGTH + 1))
+                if first is other:
+                    continue
+                earliest[body] = place
+            if body not in current:
+                current_size += len(body)
+            current[body] = place
             if current_size >= most:
-                yield from shard_repeats(pa.concat_tables(current), merged)
-                current, current_size = [], 0
+                yield from shard_repeats(current, merged)
+                current, current_size = {}, 0
+        if again:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*again, strict=True)], names=_REPEATS)
     if merged.past and current:
-        yield from shard_repeats(pa.concat_tables(current), merged)
-        current = []
-    if done or current:
-        yield from shard_repeats(pa.concat_tables(done + current))
+        yield from shard_repeats(current, merged)
+    elif len(current) > 1:
+        done |= current
+    if done:
+        yield from shard_repeats(done)
 
 
 def _finish(key_name: str):
