@@ -17,16 +17,17 @@ from lodestar.llm.tokens import SPACES, Lookup, blocks, mixed, word_hashes
 #: The token after the last word of a text.
 END = np.uint64(0xE4D0F7E47E4D0F7E)
 #: A context of one or two words, with a next token, is counted if it makes up this share of the training tokens.
-MIN_SHARE = 2e-6
+MIN_SHARE = 5e-6
 MIN_COUNT = 4
 #: Tokens of at least this share are held by every scoring task: at most a million, whatever the input.
 HEAD_SHARE = 1e-6
 #: A context stays if the chance of its next tokens being drawn from its suffix's distribution is below this.
 SIGNIFICANCE_Z = 3.1
-#: Tokens whose contexts are counted together.
-CHUNK_TOKENS = 2_000_000
+#: Least number of tokens whose contexts are counted together, and the text that a task has at least for it.
+CHUNK_TOKENS = 600_000
+TASK_BYTES = 12 << 20
 #: Contexts with next tokens that are counted in one pass over the corpus; more are counted in further passes.
-PASS_CANDIDATES = 2_000_000
+PASS_CANDIDATES = 1_000_000
 _WORDS = ~SPACES
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -63,19 +64,25 @@ def _token_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.n
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens and text numbers of about CHUNK_TOKENS together."""
+    """Tokens and text numbers of CHUNK_TOKENS to twice as many together, or of all if there are fewer."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = n_texts = 0
+
+    def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    full: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         for at, to, hashes, owners in _token_blocks(batch.column(0)):
             held.append((hashes, owners + n_texts))
             n_texts += to - at
             size += len(hashes)
             if size >= CHUNK_TOKENS:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held, size = [], 0
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                if full:
+                    yield joined(full)
+                full, held, size = held, [], 0
+    if full or held:
+        yield joined(full + held)
 
 
 def _at_least(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,6 +272,9 @@ def counted_exactly(training: DataFrame, wanted: DataFrame) -> tuple[np.ndarray,
 
 def trained(training: DataFrame) -> tuple[SuffixTree, DataFrame]:
     """The suffix tree of the texts in the only column of ``training``, and the written counts (k, n) of all tokens."""
+    # a task with little text would find nearly every pair frequent
+    size = training.agg(F.sum(F.octet_length(training.columns[0]))).first()[0] or 0
+    training = training.coalesce(max(1, int(size) // TASK_BYTES))
     found = written(training.mapInArrow(gathered, _GATHERED))
     words = written(found.where("kind = 1").groupBy("k").agg(F.sum("n").alias("n")))
     distinct, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
