@@ -1,33 +1,15 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Written intermediate tables, and schemas of Arrow functions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from lodestar.sources.shared import shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The result has no lineage beyond its files, so a lost executor costs the tasks it ran and no earlier stage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestar/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["schema_with", "shared_folder", "written"]
 
 
 def schema_with(df: DataFrame, columns: Sequence[str], more: str) -> StructType:
