@@ -15,6 +15,8 @@ MAX_REPEAT_PERCENT = 50
 #: A group of fewer passing documents than this takes the cutoffs of its language, or of all documents.
 MIN_GROUP = 30
 SKETCH_ACCURACY = 10_000
+#: Rows of the table of cutoffs up to which every task is sent a copy; a larger one is joined by shuffling.
+BROADCAST_GROUPS = 50_000
 #: Cutoffs lie this many spreads beyond the quartiles.
 FENCE = 3.0
 #: signal: (least spread, has a lower cutoff). The least spread keeps a group of nearly equal documents from
@@ -118,7 +120,9 @@ def judged(measured: DataFrame, m: str = "__m", lang: str = "lang", source: str
     that passes the base rules is kept unless one of its rates lies beyond its group's cutoff; a missing rate or
     cutoff rejects nothing.
     """
-    limits = cutoffs(measured, m, lang, source)
+    limits = written(cutoffs(measured, m, lang, source))
+    if limits.count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
     s = signals(m)
     beyond = F.lit(False)
     for k, (_, two_sided) in SIGNALS.items():
