@@ -25,7 +25,7 @@ SIGNALS = {
     "mean_word": (1.0, True),
     "symbol_rate": (0.25, False),
     "dup_line_rate": (0.2, False),
-    "repeat_rate": (0.1, False),
+    "repeat_rate": (0.15, False),
 }
 
 # Words are maximal runs of other characters than 0x20 and 0x09-0x0D. A three-word window is compared by its 64-bit

@@ -91,7 +91,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     and not coalesce(mean_word < k.a[1] - 3 * greatest(k.a[2] - k.a[1], 1.0), false)
     and not coalesce(symbol_rate > k.b[2] + 3 * greatest(k.b[2] - k.b[1], 0.25), false)
     and not coalesce(dup_line_rate > k.c[2] + 3 * greatest(k.c[2] - k.c[1], 0.2), false)
-    and not coalesce(repeat_rate > k.e[2] + 3 * greatest(k.e[2] - k.e[1], 0.1), false) as kept
+    and not coalesce(repeat_rate > k.e[2] + 3 * greatest(k.e[2] - k.e[1], 0.15), false) as kept
 from j
 """
 
