@@ -285,4 +285,4 @@ def oracle_sql() -> dict[str, str]:
     return found
 
 
-HEADLINE = ("prepared_records", "blocking_topk", "blocking_candidates", "blocking_metrics", "feat_jaccard", "macro_metrics", "threshold_sweep", "match_lists", "profile_columns", "normalization_collisions")
+HEADLINE = ("prepared_records", "blocking_topk", "profile_columns", "normalization_collisions")
