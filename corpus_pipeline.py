@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontamination, packing, quality, secrets, simhash
+from lodestar.llm import decontamination, packing, quality, secrets, wide_simhash
 from lodestar.llm.store import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.keep_one(docs)
+    """One document of each near-duplicate group stays: five-word shingles, a similarity of 0.8 or more."""
+    return wide_simhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
