@@ -1,5 +1,5 @@
 import corpus_pipeline
-from lodestar.llm import decontamination, quality, secrets, simhash
+from lodestar.llm import decontamination, quality, secrets, wide_simhash
 from tests.llm.helpers import EDGE, DOC, docs, prose
 
 
@@ -16,7 +16,7 @@ def test_stages(spark, small):
     report = {r.doc_id: r.kept for r in quality.quality_report(start).collect()}
     assert set(good) == {k for k, v in report.items() if v}
     kept = start.where(start.doc_id.isin(list(good)))
-    groups = {r.doc_id: r.component for r in simhash.clustered(kept).collect()}
+    groups = {r.doc_id: r.component for r in wide_simhash.grouped(kept).collect()}
     assert set(single) == set(groups.values())
     hits = {r.doc_id for r in decontamination.contaminations(start, spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
     assert set(clean) == set(single) - hits and hits & set(single)
