@@ -7,7 +7,7 @@ Here many independent segments each get their chance, and the long fingerprint v
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,13 @@ TABLES = 16
 EXACT_BITS = 8
 #: Differing bits among the first 128 up to which two fingerprints are candidates: 2.5 deviations above the mean at 0.8.
 HEAD_BITS = 30
-#: Fingerprints under one key are compared in blocks of this many, then one of each group of every block with all others.
+#: The forest of a crowded key is made of blocks of this many fingerprints, then of one of each group of every block.
 BLOCK = 256
+#: A key with over BLOCK fingerprints, or over this many close pairs for each, is crowded: its pairs are not listed at
+#: once, but a forest of them is checked first, then every pair that the checked ones leave unconnected.
+PAIRS_EACH = 2
+#: Pairs that a task holds before it hands them on.
+_HELD = 200_000
 #: The similarity is read off the fingerprints with a standard error of about this much; pairs that are short of the
 #: minimum by no more count as similar.
 SLACK = 0.026
@@ -93,28 +98,36 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _close(keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and distance of pairs under one key with close heads; ``keys`` is grouped."""
-    left, right, far, at, step = [], [], [], np.arange(len(keys)), 1
+def _close_steps(keys: np.ndarray, heads: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions and distance of pairs under one key with close heads, in parts; ``keys`` is grouped.
+
+    A position is compared with ``other`` (a position behind it) and all that follow under its key.
+    """
+    at = np.arange(len(keys))
     while len(at):
-        at = at[at + step < len(keys)]
-        at = at[keys[at] == keys[at + step]]
-        bits = np.bitwise_count((heads[at] ^ heads[at + step]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        inside = other < len(keys)
+        at, other = at[inside], other[inside]
+        same = keys[at] == keys[other]
+        at, other = at[same], other[same]
+        bits = np.bitwise_count((heads[at] ^ heads[other]).view(np.uint64)).sum(axis=1, dtype=np.int64)
         hit = bits <= HEAD_BITS
-        left.append(at[hit])
-        right.append(at[hit] + step)
-        far.append(bits[hit])
-        step += 1
-    none = np.empty(0, np.int64)
-    return np.concatenate(left or [none]), np.concatenate(right or [none]), np.concatenate(far or [none])
+        yield at[hit], other[hit], bits[hit]
+        other = other + 1
+
+
+def _close(keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and distance of all pairs under one key with close heads; ``keys`` is grouped."""
+    parts = list(_close_steps(keys, heads, np.arange(1, len(keys) + 1))) or [(np.empty(0, np.int64),) * 3]
+    left, right, far = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return left, right, far
 
 
 def nearest_forest(keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (a, b) of a spanning forest of the close pairs under each key, the closest pairs first.
 
-    Between two similar documents that the forest leaves out, it has a path of pairs that are as close or closer. A
-    key with over BLOCK fingerprints is compared block by block; then the first member of every group found in a block
-    is compared with those of the others, so a large group of near copies is never listed as pairs.
+    A key with over BLOCK fingerprints is compared block by block; then the first member of every group found in a block
+    is compared with those of the others. A path in the forest may use pairs that turn out not to be similar, so pairs
+    that it leaves out must still be looked at where the checked ones do not connect them.
     """
     parent = np.arange(len(keys)).tolist()
     edges: list[tuple[int, int]] = []
@@ -146,25 +159,58 @@ def nearest_forest(keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.
     return found[:, 0], found[:, 1]
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes (a, b) to verify; ``nodes`` has columns node and fp (array of LANES longs)."""
+def first_pairs(keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (a, b) of all close pairs of keys that are not crowded and of a forest of the others, and which are of those."""
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    group = np.cumsum(new) - 1
+    size = np.bincount(group)
+    crowded = size > BLOCK
+    few = np.flatnonzero(~crowded[group])
+    a, b, _ = _close(keys[few], heads[few])
+    a, b = few[a], few[b]
+    crowded |= np.bincount(group[a], minlength=len(size)) > PAIRS_EACH * size
+    listed = ~crowded[group[a]]
+    many = np.flatnonzero(crowded[group])
+    if not len(many):
+        return a, b, np.zeros(len(a), bool)
+    c, d = nearest_forest(keys[many], heads[many])
+    return np.concatenate((a[listed], many[c])), np.concatenate((b[listed], many[d])), np.arange(listed.sum() + len(c)) >= listed.sum()
+
+
+def pairs_across(keys: np.ndarray, roots: np.ndarray, heads: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b), in parts, of every close pair under one key with different roots; rows are in order of key and root."""
+    ends = np.flatnonzero((keys[1:] != keys[:-1]) | (roots[1:] != roots[:-1])) + 1
+    behind = np.append(ends, len(keys))[np.searchsorted(ends, np.arange(len(keys)), side="right")]
+    for a, b, _ in _close_steps(keys, heads, behind):
+        yield a, b
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """k, w0, w1 and root for every key of every node; ``nodes`` has columns fp and root."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).flatten().to_numpy().reshape(-1, LANES)
+            fps, roots = batch.column(0).flatten().to_numpy().reshape(-1, LANES), batch.column(1).to_numpy()
             for at in range(0, len(fps), 4_000):
                 part = fps[at : at + 4_000]
                 rows, keys = fuzzy_keys(part)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(part[rows, i]) for i in (0, 1))], names=["k", "w0", "w1"])
+                columns = [keys, part[rows, 0], part[rows, 1], roots[at : at + 4_000][rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "w0", "w1", "root"])
+
+    return nodes.select("fp", "root").mapInArrow(spread, "k long, w0 long, w1 long, root long")
+
+
+def _by_key(keyed: DataFrame, order: list[str], pairs: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """Nodes a and b of the pairs that ``pairs`` finds among the rows of whole keys, and k, the key where it says so."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            heads = np.stack([table.column(c).to_numpy() for c in ("w0", "w1")], axis=1)
-            a, b = nearest_forest(table.column("k").to_numpy(), heads)
-            ends = [heads[a, 0], heads[a, 1], heads[b, 0], heads[b, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["a0", "a1", "b0", "b1"])
+        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys, w0, w1 = (table.column(c).to_numpy() for c in ("k", "w0", "w1"))
+            for a, b, crowded in pairs(table):
+                ends = [w0[a], w1[a], w0[b], w1[b]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(e) for e in ends), pa.array(keys[a], mask=~crowded)], names=["a0", "a1", "b0", "b1", "k"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -173,16 +219,49 @@ def candidates(nodes: DataFrame) -> DataFrame:
             keys = batch.column("k").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1], side="left"))
             if cut:
-                yield flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield from flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield flush(pa.Table.from_batches(held))
+            yield from flush(pa.Table.from_batches(held))
+
+    found = keyed.repartition("k").sortWithinPartitions("k", *order).mapInArrow(compared, "a0 long, a1 long, b0 long, b1 long, k long")
+    ids = found.select(F.xxhash64("a0", "a1").alias("x"), F.xxhash64("b0", "b1").alias("y"), "k")
+    return ids.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "k")
+
 
-    keyed = nodes.select("fp").mapInArrow(spread, "k long, w0 long, w1 long")
-    pairs = keyed.repartition("k").sortWithinPartitions("k", "w0", "w1").mapInArrow(compared, "a0 long, a1 long, b0 long, b1 long")
-    ids = pairs.select(F.xxhash64("a0", "a1").alias("x"), F.xxhash64("b0", "b1").alias("y"))
-    return ids.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _heads(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in ("w0", "w1")], axis=1)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs of nodes (a, b) to verify first, and for each the crowded keys that it was found under, or null.
+
+    ``nodes`` has columns node and fp (array of LANES longs).
+    """
+
+    def listed(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        yield first_pairs(table.column("k").to_numpy(), _heads(table))
+
+    keyed = _keyed(nodes.withColumn("root", F.col("node"))).select("k", "w0", "w1")
+    return _by_key(keyed, ["w0", "w1"], listed).distinct()
+
+
+def remaining(nodes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of every close pair of nodes with different roots under the ``crowded`` keys (column k)."""
+
+    def listed(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        held, n = [], 0
+        for a, b in pairs_across(table.column("k").to_numpy(), table.column("root").to_numpy(), _heads(table)):
+            held.append((a, b))
+            n += len(a)
+            if n >= _HELD:
+                yield *(np.concatenate(x) for x in zip(*held, strict=True)), np.zeros(n, bool)
+                held, n = [], 0
+        if n:
+            yield *(np.concatenate(x) for x in zip(*held, strict=True)), np.zeros(n, bool)
+
+    return _by_key(_keyed(nodes).join(crowded, "k", "left_semi"), ["root"], listed).select("a", "b").distinct()
 
 
 def similarity(fa: str, na: str, fb: str, nb: str) -> F.Column:
@@ -211,10 +290,21 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = docs.select(key, text).mapInArrow(hashed, f"`{key}` {key_type}, fp array<long>, n long")
     rows = written(rows.withColumn("node", F.xxhash64(F.col("fp")[0], F.col("fp")[1])))
     nodes = written(rows.groupBy("node").agg(F.min(key).alias("least"), F.min(F.struct("n", "fp")).alias("s")).select("node", "least", "s.n", "s.fp"))
-    pairs = candidates(nodes.where("n > 0"))
+    worded = nodes.where("n > 0")
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("n").alias(f"n{c}"))
-    alike = pairs.join(side("a"), "a").join(side("b"), "b").where(similarity("fa", "na", "fb", "nb") >= MIN_SIMILARITY - SLACK)
-    roots = connected_components(alike.select("a", "b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        alike = pairs.join(side("a"), "a").join(side("b"), "b").where(similarity("fa", "na", "fb", "nb") >= MIN_SIMILARITY - SLACK)
+        return written(alike.select("a", "b"))
+
+    found = written(candidates(worded))
+    alike = verified(found.select("a", "b").distinct())
+    roots = connected_components(alike)
+    crowded = written(found.where("k is not null").select("k").distinct())
+    if not crowded.isEmpty():
+        # a pair is left out only where pairs that were verified connect it
+        split = worded.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+        roots = connected_components(alike.unionByName(verified(remaining(split, crowded))))
     named = written(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     best = named.groupBy("root").agg(F.min("least").alias("component"))
     return rows.select(key, "node").join(named.join(best, "root").select("node", "component"), "node").select(key, "component")

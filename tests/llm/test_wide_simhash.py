@@ -85,6 +85,48 @@ def test_forest_of_a_large_key(monkeypatch):
         assert len(a) == 117 and components(120, zip(a.tolist(), b.tolist())) == [i // 40 * 40 for i in range(120)]
 
 
+def scattered(words, n, rng):
+    """Words replaced at n places so far apart that each changes five shingles."""
+    words = list(words)
+    at = rng.choice(len(words) // 10, n, replace=False) * 10 + 5
+    for i in at.tolist():
+        words[i] = f"new{rng.integers(1 << 40)}"
+    return " ".join(words)
+
+
+def test_variants_of_one_original(spark):
+    """Variants are similar to the original only; the closest heads are not always those of similar texts."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for g in range(2):
+        words = [f"w{g}x{i}" for i in range(304)]
+        texts += [" ".join(words), *(scattered(words, 6, rng) for _ in range(150))]
+    sets = [shingles(t) for t in texts]
+    assert all(jaccard(sets[0], s) > 0.8 for s in sets[:151]) and jaccard(sets[1], sets[2]) < 0.75
+    got = {r.doc_id: r.component for r in wide_simhash.grouped(docs(spark, texts)).collect()}
+    apart = sum(got[i] != i // 151 * 151 for i in got)
+    assert apart <= 0.03 * len(texts)
+
+
+def test_pairs_of_crowded_keys(monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 62, (3, 2))
+    heads = np.repeat(base, 40, axis=0)
+    for row in heads:
+        row[0] ^= np.int64(1 << int(rng.integers(62)))
+    keys = np.zeros(len(heads), np.int64)
+    a, b, crowded = wide_simhash.first_pairs(keys, heads)
+    assert len(a) == 117 and crowded.all()
+    roots = np.arange(120) // 20
+    across = {(x, y) for p, q in wide_simhash.pairs_across(keys, roots, heads) for x, y in zip(p.tolist(), q.tolist(), strict=True)}
+    assert across == {(x, y) for x in range(120) for y in range(x + 1, 120) if x // 40 == y // 40 and x // 20 != y // 20}
+    few = np.arange(120) // 4
+    a, b, crowded = wide_simhash.first_pairs(few, heads)
+    assert len(a) == 180 and not crowded.any()
+    monkeypatch.setattr(wide_simhash, "BLOCK", 3)
+    assert wide_simhash.first_pairs(few, heads)[2].all()
+
+
 def test_edges(spark):
     texts = [*EDGE, "ONE two Three", prose(300), prose(300) + " tail"]
     got = {r.doc_id: r.component for r in wide_simhash.grouped(docs(spark, texts)).collect()}
