@@ -1,7 +1,8 @@
 """Near-duplicates by five-word shingles: SimHash of 1,024 bits, candidates by fuzzy Golay-code keys of its segments.
 
 At a similarity of 0.8 about one bit in seven differs, too many for the pigeonhole over 64 bits that ``simhash`` uses.
-Here many independent segments each get their chance, and the long fingerprint verifies the candidates.
+Here many independent segments each get their chance, the long fingerprint sorts out most candidates, and the shingle
+sets of the others are compared.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ BLOCK = 256
 PAIRS_EACH = 2
 #: Pairs that a task holds before it hands them on.
 _HELD = 200_000
-#: The similarity is read off the fingerprints with a standard error of about this much; pairs that are short of the
-#: minimum by no more count as similar.
-SLACK = 0.026
+#: The similarity is first read off the fingerprints, with a standard error of about 0.026; pairs that are short of the
+#: minimum by no more than four of these are compared by their shingle sets.
+SLACK = 4 * 0.026
 _CHUNK = 255 * 8
 _FLIPS = np.concatenate(([0], 1 << np.arange(23)))
 
@@ -274,8 +275,9 @@ def similarity(fa: str, na: str, fb: str, nb: str) -> F.Column:
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component): the smallest key that a row reaches over links of similar texts.
 
-    Texts whose first 128 fingerprint bits agree are one node, made before any exchange of keys, so copies of any
-    number cost one. Texts without words (and null ones) are copies of each other. Rows with equal keys are each
+    Texts are linked if the Jaccard similarity of their shingle sets is MIN_SIMILARITY or more. Those whose first 128
+    fingerprint bits agree are one node, made before any exchange of keys, so copies of any number cost one; it is
+    compared by the set of the text with the smallest key. Texts without words (and null ones) are copies of each other. Rows with equal keys are each
     returned; a null key is in no group's minimum. An empty table gives an empty result.
     """
     key_type = docs.schema[key].dataType.simpleString()
@@ -293,9 +295,27 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     worded = nodes.where("n > 0")
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("n").alias(f"n{c}"))
 
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(b or b"") for b in batch.column(0).cast(pa.binary()).to_pylist()]
+            heads = np.array([fingerprint(h)[:2] for h in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(heads[:, 0]), pa.array(heads[:, 1]), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["w0", "w1", "h"]
+            )
+
     def verified(pairs: DataFrame) -> DataFrame:
-        alike = pairs.join(side("a"), "a").join(side("b"), "b").where(similarity("fa", "na", "fb", "nb") >= MIN_SIMILARITY - SLACK)
-        return written(alike.select("a", "b"))
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").where(similarity("fa", "na", "fb", "nb") >= MIN_SIMILARITY - SLACK)
+        likely = written(likely.select("a", "b"))
+        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        keys = nodes.join(ends, "node", "left_semi").select(F.col("least").alias("__least")).distinct()
+        texts = docs.select(key, text).join(keys, F.col(key).eqNullSafe(F.col("__least")), "left_semi").select(text)
+        # a key may repeat with other texts
+        sets = texts.mapInArrow(shingled, "w0 long, w1 long, h array<long>").groupBy(F.xxhash64("w0", "w1").alias("node")).agg(F.min("h").alias("h"))
+        sets = written(sets)
+        of = lambda c: sets.select(F.col("node").alias(c), F.col("h").alias(f"h{c}"))
+        both = likely.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("ha", "hb")))
+        share = F.col("shared") / (F.size("ha") + F.size("hb") - F.col("shared"))
+        return written(both.where(share >= MIN_SIMILARITY).select("a", "b"))
 
     found = written(candidates(worded))
     alike = verified(found.select("a", "b").distinct())
