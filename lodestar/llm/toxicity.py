@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestar.llm.store import written
 from lodestar.llm.tokens import WORD_BYTES, blocks, mixed, word_hashes
@@ -26,8 +26,13 @@ MARKER_SHARE = 0.8
 PENALTY = 1e-3
 STEPS = 400
 TOXIC_FROM = 0.5
-#: Two labelled documents count as one if one of so many lowest hashes of their three-word shingles agrees.
-N_LOWEST = 8
+#: A labelled document counts as a copy of an earlier one with the same label from this Jaccard similarity of their
+#: three-word shingles on. Compared are documents that agree in one of the first PLACES lowest hashes and in AGREE of all
+#: N_LOWEST, four standard errors below what the similarity lets expect.
+COPY_SIMILARITY = 0.8
+N_LOWEST = 64
+PLACES = 8
+AGREE = 38
 
 
 def counted(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,31 +106,46 @@ def association(toxic_with: np.ndarray, with_word: np.ndarray, toxic: int, total
     return 2 * (cells * np.log(np.where(cells > 0, cells * total / np.maximum(rows * cols, 1), 1.0))).sum(axis=0)
 
 
-def lowest_hashes(words: np.ndarray) -> list[int]:
-    """The lowest hash of the three-word shingles (of the words, if there are fewer) under each of N_LOWEST functions."""
-    s = words[:-2] * np.uint64(3) + words[1:-1] * np.uint64(5) + words[2:] * np.uint64(7) if len(words) > 2 else words
-    return [int(mixed(s ^ np.uint64(i)).min(initial=np.uint64((1 << 64) - 1)).view(np.int64)) for i in range(N_LOWEST)]
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the three-word shingles (of the words, if there are fewer)."""
+    return np.unique(words[:-2] * np.uint64(3) + words[1:-1] * np.uint64(5) + words[2:] * np.uint64(7) if len(words) > 2 else words)
 
 
-def first_of_copies(lowest: list[list[int]]) -> list[int]:
-    """Positions of the first of each group of rows that are connected by equal hashes in equal places."""
-    top = list(range(len(lowest)))
+def lowest_hashes(of: np.ndarray) -> list[int]:
+    """The lowest hash of the shingles under each of N_LOWEST functions."""
+    return [int(mixed(of ^ np.uint64(i)).min(initial=np.uint64((1 << 64) - 1)).view(np.int64)) for i in range(N_LOWEST)]
 
-    def find(x: int) -> int:
-        while top[x] != x:
-            top[x] = x = top[top[x]]
-        return x
 
-    seen: dict[tuple[int, int], int] = {}
-    for row, hashes in enumerate(lowest):
-        for x in enumerate(hashes):
-            a, b = sorted((find(row), find(seen.setdefault(x, row))))
-            top[b] = a
-    return [i for i in range(len(lowest)) if find(i) == i]
+def with_company(lowest: np.ndarray) -> np.ndarray:
+    """Positions of the rows that share one of the first PLACES hashes with another row."""
+    shared = np.zeros(len(lowest), bool)
+    for place in range(PLACES):
+        _, at, n = np.unique(lowest[:, place], return_inverse=True, return_counts=True)
+        shared |= n[at] > 1
+    return np.flatnonzero(shared)
+
+
+def without_copies(lowest: np.ndarray, labels: list[int], sets: dict[int, np.ndarray]) -> list[int]:
+    """Positions of the rows that are no copy of a kept earlier row with the same label; ``sets`` are shingles by position."""
+    kept: list[int] = []
+    seen: dict[tuple[int, int, int], list[int]] = {}
+    for row in range(len(lowest)):
+        places = [(i, labels[row], x) for i, x in enumerate(lowest[row, :PLACES].tolist())]
+        others = np.array(sorted({o for p in places for o in seen.get(p, ())}), np.int64)
+        near = others[(lowest[others] == lowest[row]).sum(axis=1) >= AGREE].tolist() if len(others) else []
+        for other in near:
+            shared = len(np.intersect1d(sets[row], sets[other], assume_unique=True))
+            if shared >= COPY_SIMILARITY * (len(sets[row]) + len(sets[other]) - shared):
+                break
+        else:
+            kept.append(row)
+            for p in places:
+                seen.setdefault(p, []).append(row)
+    return kept
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> OrdinalModel:
-    """Fit on at most MAX_LABELLED labelled documents, of which near copies count once."""
+    """Fit on at most MAX_LABELLED labelled documents, of which near copies with the same label count once."""
     key_type = docs.schema[key].dataType.simpleString()
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("__y"))
@@ -135,25 +155,39 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").lower().encode() for t in batch.column(1).to_pylist()]
-            lowest = []
+            sets = []
             for at, to in blocks(texts):
                 hashes, owners = word_hashes(texts[at:to], WORD_BYTES)
                 first = np.searchsorted(owners, np.arange(to - at + 1))
-                lowest += [lowest_hashes(hashes[first[i] : first[i + 1]]) for i in range(to - at)]
+                sets += [shingles(hashes[first[i] : first[i + 1]]) for i in range(to - at)]
             pairs = list(counted(texts))
+            longs = lambda rows: pa.array(rows, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(lowest, pa.list_(pa.int64())), pa.array([h.view(np.int64) for h, _ in pairs], pa.list_(pa.int64())), pa.array([c for _, c in pairs], pa.list_(pa.int64()))],
-                names=["key", "y", "lowest", "words", "counts"],
+                [
+                    batch.column(0), batch.column(2), longs([lowest_hashes(x) for x in sets]), longs([x.view(np.int64) for x in sets]),
+                    longs([h.view(np.int64) for h, _ in pairs]), longs([c for _, c in pairs]),
+                ],
+                names=["key", "y", "lowest", "shingles", "words", "counts"],
             )
 
     # at most MAX_LABELLED rows of a key and a label
-    sample = docs.join(F.broadcast(chosen), key).select(key, text, "__y").mapInArrow(featurised, f"key {key_type}, y int, lowest array<long>, words array<long>, counts array<long>")
-    sample = written(sample)
-    heads = sample.select("key", "lowest").distinct().toArrow().to_pylist()
-    heads.sort(key=lambda r: (r["key"], r["lowest"]))
-    firsts = [(heads[i]["key"],) for i in first_of_copies([r["lowest"] for r in heads])]
-    firsts = docs.sparkSession.createDataFrame(firsts, StructType([StructField("key", docs.schema[key].dataType)]))
-    one = written(sample.dropDuplicates(["key"]).join(F.broadcast(firsts.distinct()), "key", "left_semi").select("y", "words", "counts"))
+    sample = docs.join(F.broadcast(chosen), key).select(key, text, "__y").mapInArrow(
+        featurised, f"key {key_type}, y int, lowest array<long>, shingles array<long>, words array<long>, counts array<long>"
+    )
+    sample = written(sample.groupBy("key").agg(F.min(F.struct("lowest", "y", "shingles", "words", "counts")).alias("s")).select("key", "s.*"))
+    heads = sample.select("key", "y", "lowest").toArrow().to_pylist()
+    heads.sort(key=lambda r: r["key"])
+    lowest = np.array([r["lowest"] for r in heads], np.int64).reshape(-1, N_LOWEST)
+
+    def named(positions: list[int]) -> DataFrame:
+        rows = [(heads[i]["key"], i) for i in positions]
+        return F.broadcast(docs.sparkSession.createDataFrame(rows, StructType([StructField("key", docs.schema[key].dataType), StructField("at", LongType())])))
+
+    # the shingles of at most MAX_LABELLED documents
+    compared = sample.join(named(with_company(lowest).tolist()), "key").select("at", "shingles").toArrow()
+    sets = {at: x.values.to_numpy().view(np.uint64) for at, x in zip(compared.column("at").to_pylist(), compared.column("shingles"), strict=True)}
+    kept = without_copies(lowest, [r["y"] for r in heads], sets)
+    one = written(sample.join(named(kept), "key", "left_semi").select("y", "words", "counts"))
     total, toxic = (int(x or 0) for x in one.agg(F.count(F.lit(1)), F.sum(F.col("y").cast("boolean").cast("int"))).first())
     by_word = (
         one.select(F.explode("words").alias("w"), F.col("y").cast("boolean").cast("int").alias("t")).groupBy("w")

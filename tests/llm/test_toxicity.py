@@ -30,6 +30,25 @@ def test_held_out(spark):
     assert all(0 <= r.expected_severity <= len(model.thresholds) for r in rows.values())
 
 
+def test_shared_passage_makes_no_copies(spark):
+    """Documents with a passage in common are no copies of each other, and all of them train the model."""
+    d, labels, texts = corpus(spark)
+    passage = prose(30, 999)
+    d = docs(spark, [f"{t} {passage}" for t in texts])
+    model = toxicity.train(d, labels)
+    assert len(model.words) == 4
+    assert all(r.toxic == (r.doc_id % 4 == 0) for r in toxicity.severity(d, model).collect())
+
+
+def test_copies():
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    sets = [base, base[5:], base[:200], base[3:], base[:0], base[:0]]
+    lowest = np.array([toxicity.lowest_hashes(s) for s in sets])
+    assert toxicity.without_copies(lowest, [0, 0, 0, 1, 0, 0], dict(enumerate(sets))) == [0, 2, 3, 4]
+    assert {0, 1, 3, 4, 5} <= set(toxicity.with_company(lowest).tolist())
+
+
 def test_gradient_reaches_the_optimum():
     rng = np.random.default_rng(0)
     x = rng.normal(size=3000)
