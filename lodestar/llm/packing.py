@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 from collections.abc import Iterator, Mapping
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +33,40 @@ class Encoder:
     def __init__(self, name: str = TOKENIZER):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(public_tokenizers.path(name))
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.file = public_tokenizers.path(name)
+        with open(self.file, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(public_tokenizers.path(name.removesuffix(".json") + ".tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def full(self):
+        """The tokenizer file itself, loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def __call__(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
             return self.full.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
+@cache
+def encoder(name: str = TOKENIZER) -> Encoder:
+    """One encoder for all tasks that a worker process runs."""
+    return Encoder(name)
+
+
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Cut each document's ids (its tokens, then ``END_ID``) every ``max_tokens``: key, start, length, ids_crc32, doc_tokens."""
     key_type = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
         for batch in batches:
-            encode = encode or Encoder()
+            encode = encoder()
             rows: list[tuple[int, int, int, int, int]] = []
             for i, body in enumerate(batch.column(1).to_pylist()):
                 ids = np.array([*encode(body or ""), END_ID], dtype="<u4")
