@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyspark.sql.functions as F
 
 from lodestar.llm import queries
 from lodestar.llm import suffix_tree_lm as lm
@@ -36,10 +37,6 @@ def brute_tree(texts):
     seqs = [toks(t) for t in texts]
     uni = Counter(w for s in seqs for w in s)
     n, v = sum(uni.values()), len(uni)
-    two, three = Counter(), Counter()
-    for s in seqs:
-        two.update(zip(s, s[1:]))
-        three.update(zip(s, s[1:], s[2:]))
     least = max(lm.MIN_COUNT, lm.MIN_SHARE * n)
     root = lambda w: (uni[w] + 1) / (n + v + 1)
     kept = {}
@@ -52,27 +49,42 @@ def brute_tree(texts):
         stored, back = kept[ctx]
         return stored[w] if w in stored else back * prob(ctx[1:], w)
 
-    for depth, counts in ((1, two), (2, three)):
-        by = {}
-        for g, c in counts.items():
-            if c >= least:
-                by.setdefault(g[:-1], {})[g[-1]] = c
+    new = {(): None}
+    depth = 0
+    while new:
+        depth += 1
+        by, whole = {}, Counter()
+        for s in seqs:
+            for i in range(depth, len(s)):
+                ctx = tuple(s[i - depth : i])
+                if ctx[1:] in new:
+                    by.setdefault(ctx, Counter())[s[i]] += 1
+                    whole[ctx] += 1
         new = {}
         for ctx, nxt in by.items():
-            whole = uni[ctx[0]] if depth == 1 else two[ctx]
+            nxt = {w: c for w, c in nxt.items() if c >= least}
+            if not nxt:
+                continue
             low = {w: prob(ctx[1:], w) for w in nxt}
-            rest = 1 - sum(c / whole for c in nxt.values())
-            g = 2 * sum(c * math.log(c / whole / low[w]) for w, c in nxt.items())
-            if rest > 1e-15:
-                g += 2 * whole * rest * math.log(max(rest, 1e-12) / max(1 - sum(low.values()), 1e-12))
+            rest = 1 - sum(c / whole[ctx] for c in nxt.values())
+            g = 2 * sum(c * math.log(c / whole[ctx] / low[w]) for w, c in nxt.items())
+            if rest > 1e-9:
+                g += 2 * whole[ctx] * rest * math.log(max(rest, 1e-12) / max(1 - sum(low.values()), 1e-12))
             if g >= lm.chi_square_cutoff(np.array([float(len(nxt))]))[0]:
-                stored = {w: (c - 0.5) / whole for w, c in nxt.items()}
+                stored = {w: (c - 0.5) / whole[ctx] for w, c in nxt.items()}
                 new[ctx] = (stored, max(1 - sum(stored.values()), 1e-12) / max(1 - sum(low.values()), 1e-12))
         kept.update(new)
 
+    def longest(words):
+        """The longest kept context, found from the next token backwards; growth went that way."""
+        d = 0
+        while d < len(words) and tuple(words[len(words) - d - 1 :]) in kept:
+            d += 1
+        return tuple(words[len(words) - d :])
+
     def score(text):
         s = toks(text)
-        return sum(math.log10(prob(tuple(s[max(0, i - 2) : i]), w)) for i, w in enumerate(s))
+        return sum(math.log10(prob(longest(s[max(0, i - 40) : i]), w)) for i, w in enumerate(s))
 
     return score, kept, prob
 
@@ -82,18 +94,36 @@ def test_whole_table(spark, small):
     rows = queries.op9_suffix_tree_lm(spark, small).collect()
     held = check(rows, texts)
     score, kept, _ = brute_tree([t for k, t in texts.items() if not held[k]])
-    assert any(len(c) == 1 for c in kept) and any(len(c) == 2 for c in kept)
+    assert {len(c) for c in kept} >= {1, 2, 3}
     for r in rows:
         assert math.isclose(r.score, score(texts[r.doc_id]), rel_tol=1e-6), r.doc_id
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
-def test_passes_and_chunks_give_the_same(spark, small, monkeypatch):
+def test_chunks_and_buckets_give_the_same(spark, small, monkeypatch):
     whole = sorted((r.doc_id, round(r.score, 6)) for r in queries.op9_suffix_tree_lm(spark, small).collect())
-    monkeypatch.setattr(lm, "PASS_CANDIDATES", 20_000)
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 5_000)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 3_000)
     assert sorted((r.doc_id, round(r.score, 6)) for r in queries.op9_suffix_tree_lm(spark, small).collect()) == whole
 
 
+def test_depth_follows_the_texts(spark):
+    """Each word depends on the five before it; no depth is set anywhere."""
+    rng = np.random.default_rng(5)
+    chance = rng.dirichlet([0.3] * 2, 2**5)
+    texts = []
+    for _ in range(300):
+        w = rng.integers(0, 2, 5).tolist()
+        for _ in range(80):
+            w.append(int(rng.random() < chance[int("".join(map(str, w[-5:])), 2)][1]))
+        texts.append(" ".join("xy"[i] for i in w))
+    rows = lm.scored(docs(spark, texts), held_out=F.lit(False)).collect()
+    score, kept, _ = brute_tree(texts)
+    assert max(map(len, kept)) >= 5
+    for r in rows:
+        assert math.isclose(r.score, score(texts[r.doc_id]), rel_tol=1e-9)
+
+
 def test_probabilities_sum_to_one():
     vocab = ["the", "cat", "dog", "sat", "ran"]
     rng = np.random.default_rng(4)
@@ -117,6 +147,5 @@ def test_edges(spark):
     assert lm.scored(twice).count() == 3
     nulls = docs(spark, ["a b", None]).selectExpr("cast(null as bigint) doc_id", "text")
     assert sorted(r.n_tokens for r in lm.scored(nulls).collect()) == [1, 3]
-    import pyspark.sql.functions as F
     none = lm.scored(docs(spark, ["a b", ""]), held_out=F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0.0 for r in none)
