@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
@@ -17,15 +18,29 @@ SENTENCES = {
     "MIT-NOTICE": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
     "AS-IS": ["the software is provided as is without warranty of any kind", "this software is provided as is without warranty of any kind"],
     "APACHE-2-LICENSED": ["licensed under the apache license version 2 0", "licensed under apache 2 0"],
+    "APACHE-2-TITLE": ["apache license version 2 0 january 2004"],
+    "APACHE-2-BASIS": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"],
     "APACHE-2-COMPLY": ["you may not use this file except in compliance with the license"],
     "GPL-3-LICENSED": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "licensed under the gpl version 3"],
     "GPL-2-LICENSED": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"],
     "GPL-FREE": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"],
     "GPL-EITHER-3": ["either version 3 of the license or at your option any later version"],
     "GPL-EITHER-2": ["either version 2 of the license or at your option any later version"],
+    "AGPL-FREE": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"],
+    "LGPL-FREE": [f"this {x} is free software you can redistribute it and or modify it under the terms of the gnu {y} general public license" for x in ("library", "program") for y in ("lesser", "library")],
     "LGPL-LICENSED": ["licensed under the gnu lesser general public license"],
     "MPL-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "BSD-REDISTRIBUTE": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "BSD-SOURCE": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
+    "BSD-BINARY": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
+    "BSD-WARRANTY": [f"this software is provided by the copyright {x} and contributors as is and any express or implied warranties" for x in ("holders", "owners")],
+    "ISC-GRANT": [f"permission to use copy modify and {x} this software for any purpose with or without fee is hereby granted" for x in ("or distribute", "distribute")],
+    "BSL-GRANT": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "EPL-TERMS": ["this program and the accompanying materials are made available under the terms of the eclipse public license"],
+    "SPDX-MIT": ["spdx license identifier mit"],
+    "SPDX-APACHE-2": ["spdx license identifier apache 2 0"],
+    "SPDX-GPL-2": ["spdx license identifier gpl 2 0"],
+    "SPDX-GPL-3": ["spdx license identifier gpl 3 0"],
     "BSD-ENDORSE": ["may be used to endorse or promote products derived from this software without specific prior written permission"],
     "BSD-3-LICENSED": ["licensed under the bsd 3 clause license"],
     "CC-BY-NC-4": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
@@ -43,15 +58,27 @@ RULES = [
     ("BSD-2-Clause", ("BSD-REDISTRIBUTE",)),
     ("GPL-3.0-or-later", ("GPL-FREE", "GPL-EITHER-3")),
     ("GPL-2.0-or-later", ("GPL-FREE", "GPL-EITHER-2")),
+    ("Apache-2.0", ("APACHE-2-LICENSED", "APACHE-2-COMPLY", "APACHE-2-BASIS")),
     ("Apache-2.0", ("APACHE-2-LICENSED", "APACHE-2-COMPLY")),
     ("Apache-2.0", ("APACHE-2-LICENSED",)),
+    ("Apache-2.0", ("APACHE-2-TITLE",)),
     ("MIT", ("MIT-RELEASED",)),
     ("MIT", ("MIT-GRANT",)),
     ("MIT", ("MIT-TITLE",)),
     ("GPL-3.0", ("GPL-3-LICENSED",)),
     ("GPL-2.0", ("GPL-2-LICENSED",)),
     ("GPL", ("GPL-FREE",)),
+    ("AGPL-3.0-or-later", ("AGPL-FREE", "GPL-EITHER-3")),
+    ("AGPL", ("AGPL-FREE",)),
+    ("LGPL", ("LGPL-FREE",)),
     ("LGPL", ("LGPL-LICENSED",)),
+    ("ISC", ("ISC-GRANT",)),
+    ("BSL-1.0", ("BSL-GRANT",)),
+    ("EPL", ("EPL-TERMS",)),
+    ("MIT", ("SPDX-MIT",)),
+    ("Apache-2.0", ("SPDX-APACHE-2",)),
+    ("GPL-2.0", ("SPDX-GPL-2",)),
+    ("GPL-3.0", ("SPDX-GPL-3",)),
     ("MPL-2.0", ("MPL-2",)),
     ("BSD-3-Clause", ("BSD-3-LICENSED",)),
     ("CC-BY-NC-4.0", ("CC-BY-NC-4",)),
@@ -62,9 +89,11 @@ RULES = [
     ("Proprietary", ("ALL-RIGHTS",)),
 ]
 # A sentence without any of these cannot be a known one.
-TRIGGERS = ("licen", "permission", "warranty", "notice", "redistribut", "public domain", "version", "rights reserved", "mozilla", "apache", "cc0")
+TRIGGERS = ("licen", "permission", "warrant", "notice", "redistribut", "domain", "version", "reserved", "mozilla", "apache", "cc0")
 
-_SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?](?!\s|$)[^\n.!?]*)*(?:[.!?]+|\n|$)")
+# Text goes on after a line feed, unless the next line has no letter or digit; a stop after a single letter ("v. 2")
+# ends nothing.
+_SENTENCE_END = re.compile(r"(?<!\b[^\W_])[.!?]+(?=\s|$)|\n(?=[^\S\n]*(?:[^\w\n]|_)*(?:\n|$))")
 _TRIGGER = re.compile("|".join(TRIGGERS))
 _OTHER = re.compile(r"[\W_]+")
 
@@ -74,8 +103,12 @@ def normalised(sentence: str) -> str:
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of the sentences that hold a letter or digit; one ends at a line feed or at ., ! or ? before white space."""
-    return [m.span() for m in _SENTENCE.finditer(text) if any(map(str.isalnum, m.group()))]
+    """Spans of the sentences that hold a letter or digit; one ends at ., ! or ? before white space, or before a line without either.
+
+    A sentence may be wrapped over lines; the signs with which lines of a comment begin fall away when it is normalised.
+    """
+    ends = [m.end() for m in _SENTENCE_END.finditer(text)]
+    return [(a, b) for a, b in zip([0, *ends], [*ends, len(text)], strict=True) if any(map(str.isalnum, text[a:b]))]
 
 
 class Recogniser:
@@ -102,22 +135,41 @@ class Recogniser:
 
 def licences(ids: Sequence[str], rules: Sequence[tuple[str, tuple[str, ...]]] = RULES) -> list[str]:
     """Licences in the order of their first sentence."""
-    left, out = list(enumerate(ids)), []
-    while left:
-        for name, need in rules:
-            if need[0] != left[0][1]:
+    places: dict[str, list[int]] = {}
+    for at, name in enumerate(ids):
+        places.setdefault(name, []).append(at)
+    # for each place in these lists, the first free one from there on
+    free = {name: list(range(len(x) + 1)) for name, x in places.items()}
+
+    def after(name: str, at: int) -> int | None:
+        """The first free place of an identifier behind ``at``."""
+        if name not in places:
+            return None
+        jump, i = free[name], bisect_right(places[name], at)
+        while jump[i] != i:
+            jump[i] = i = jump[jump[i]]
+        return places[name][i] if i < len(places[name]) else None
+
+    out, used = [], set()
+    for first, name in enumerate(ids):
+        if first in used:
+            continue
+        for licence, need in rules:
+            if need[0] != name:
                 continue
-            taken, want = [], 0
-            for at, got in left:
-                if want < len(need) and got == need[want]:
-                    taken.append(at)
-                    want += 1
-            if want == len(need):
-                out.append(name)
-                left = [x for x in left if x[0] not in taken]
+            taken = [first]
+            for want in need[1:]:
+                at = after(want, taken[-1])
+                if at is None:
+                    break
+                taken.append(at)
+            else:
+                out.append(licence)
+                used.update(taken)
+                for at in taken:
+                    i = bisect_right(places[ids[at]], at) - 1
+                    free[ids[at]][i] = i + 1
                 break
-        else:
-            left = left[1:]
     return out
 
 
@@ -139,7 +191,8 @@ def recognised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """key, n_sentences, n_licence_sentences, sentence_ids and licences (in order, comma-joined), spans, for every row.
 
     spans: start:end of each sentence that holds a known one, in code points. Known sentences may stand among other
-    words of a sentence. Null and empty texts have no sentences; the whole text is read; repeated rows each get a row.
+    words of a sentence, and be wrapped over lines. Null and empty texts have no sentences; the whole text is read;
+    repeated rows and null keys each get a row; an empty table gives an empty result; other columns are not read.
     """
     key_type = docs.schema[key].dataType.simpleString()
 
