@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from lodestar.llm.store import schema_with, written
 KINDS = ("assign", "access", "hex", "format")
 #: Labelled credentials of each kind, and other strings, that automata are learned from: those that hash lowest.
 MAX_LABELLED = 600
+#: Longer strings are not learned from; they are scored like all others.
+MAX_LEARNED_LENGTH = 200
 #: Confidence of the state-merging test.
 ALPHA = 0.05
 #: Share of its own training strings that an automaton may find less likely than its cutoff.
@@ -31,7 +36,6 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -51,11 +55,19 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str]]:
-    """Runs of credential characters, with a digit, that touch no base span."""
+    """Runs of credential characters that touch no base span."""
+    starts = [x[0] for x in taken]
+    # the furthest end of a span that starts no later; spans of different kinds may overlap
+    furthest = list(accumulate((x[2] for x in taken), max))
+
+    def touched(a: int, b: int) -> bool:
+        n = bisect_left(starts, b)
+        return n > 0 and furthest[n - 1] > a
+
     for m in _CANDIDATE.finditer(text):
         value = m[0].rstrip(".=-_/")
         a, b = m.start(), m.start() + len(value)
-        if len(value) >= MIN_LENGTH and _DIGIT.search(value) and not any(a < end and start < b for start, _, end, _ in taken):
+        if len(value) >= MIN_LENGTH and not touched(a, b):
             yield a, b, value
 
 
@@ -182,23 +194,55 @@ def joined(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
+def ordinary(text: str, taken: list[tuple[int, int, int, str]]) -> set[str]:
+    """Words outside the base spans."""
+    parts, at = [], 0
+    for a, _, b, _ in taken:
+        if a >= at:
+            parts.append(text[at:a])
+        at = max(at, b)
+    return set(" ".join([*parts, text[at:]]).split())
+
+
+def place(value: str) -> int:
+    """The hash by whose order strings are chosen: Spark's xxhash64."""
+    h = xxhash.xxh64_intdigest(value.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def lowest_words(words: set[str]) -> list[str]:
+    """The MAX_LABELLED words that hash lowest, of those that are short enough and hold nothing that is to be scored."""
+    out: list[str] = []
+    for _, w in sorted((place(w), w) for w in words):
+        if len(w) <= MAX_LEARNED_LENGTH and not _CANDIDATE.search(w):
+            out.append(w)
+            if len(out) == MAX_LABELLED:
+                break
+    return out
+
+
 SCAN = "base array<struct<a:int,k:int,b:int,v:string>>, other array<struct<a:int,b:int,v:string>>, words array<string>"
 
 
 def scanned(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every row with its base spans, its further candidates, and a few ordinary words to compare with."""
+    """``columns`` of every row with its base spans and its further candidates; words: ordinary ones to compare with.
+
+    The first row of a batch holds the words that hash lowest among all words of the batch's whole texts, so the lowest
+    of all batches are the lowest of all texts.
+    """
     kept = docs.select(*columns, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_type = pa.list_(pa.struct([("a", pa.int32()), ("k", pa.int32()), ("b", pa.int32()), ("v", pa.string())]))
         other_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("v", pa.string())]))
         for batch in batches:
-            base, other, words = [], [], []
+            base, other, seen = [], [], set()
             for t in batch.column(len(columns)).to_pylist():
                 spans = base_spans(t or "")
                 base.append([dict(zip("akbv", (a, k, b, v), strict=True)) for a, k, b, v in spans])
                 other.append([dict(zip("abv", x, strict=True)) for x in candidates(t or "", spans)])
-                words.append((t or "")[:200].split()[:3])
+                seen |= ordinary(t or "", spans)
+            words = [lowest_words(seen), *([[]] * (len(base) - 1))][: len(base)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(columns)], pa.array(base, base_type), pa.array(other, other_type), pa.array(words, pa.list_(pa.string()))],
                 names=[*columns, "base", "other", "words"],
@@ -208,15 +252,15 @@ def scanned(docs: DataFrame, columns: list[str], text: str = "text") -> DataFram
 
 
 def trained(found: DataFrame) -> tuple[dict[str, Automaton], Automaton]:
-    """Automata from a scan's base values, by kind, and from its other strings: at most MAX_LABELLED distinct ones of each."""
+    """Automata from a scan's base values, by kind, and from ordinary words: at most MAX_LABELLED distinct ones of each."""
 
     def lowest(values: DataFrame) -> list[str]:
         rows = values.distinct().orderBy(F.xxhash64("v"), "v").limit(MAX_LABELLED)
         return [r["v"] for r in rows.collect()]
 
-    base = found.select(F.explode("base").alias("x")).select("x.k", "x.v").where(F.length("v") <= 200)
+    base = found.select(F.explode("base").alias("x")).select("x.k", "x.v").where(F.length("v") <= MAX_LEARNED_LENGTH)
     labelled = {KINDS[k]: lowest(base.where(F.col("k") == k).select("v")) for k in range(3)}
-    other = lowest(found.select(F.explode(F.concat(F.col("words"), F.transform("other", lambda x: x["v"]))).alias("v")).where(F.length("v") <= 200))
+    other = lowest(found.select(F.explode("words").alias("v")))
     return learned(labelled, other)
 
 
@@ -243,7 +287,11 @@ def secrets(docs: DataFrame, columns: list[str], text: str = "text") -> DataFram
 
 
 def secret_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_assign, n_access, n_hex, base_sha256, spans, n_format."""
+    """key, n_assign, n_access, n_hex, base_sha256, spans, n_format for every row of ``docs``.
+
+    Null and empty texts have no spans; repeated rows and null keys each get a row; an empty table gives an empty result;
+    other columns are not read, whatever their names.
+    """
     found = secrets(docs, [key], text)
     key_type = docs.schema[key].dataType.simpleString()
 
@@ -270,6 +318,8 @@ def masked(docs: DataFrame, text: str = "text", size: str | None = "n_chars") ->
     """The rows of ``docs`` with each secret replaced by MASK (overlapping ones by one), and ``size`` brought up to date.
 
     Two passes over the text, since what the second adds is learned in the first; no row is dropped and none moves.
+    Null and empty texts stay as they are; repeated rows are each masked; an empty table gives an empty result. Other
+    columns keep their values, whatever their names; without a column ``size`` only the text changes.
     """
     found = written(scanned(docs, [], text))
     formats, other = trained(found)

@@ -77,3 +77,22 @@ def test_masked(spark):
     assert got[0] == ('a [SECRET]" b', 13) and got[1] == ("x [SECRET]", 10) and got[2] == (None, 0) and got[5] == ('[SECRET]"', 9)
     assert secrets.masked(docs(spark, [])).count() == 0
     assert secrets.secret_report(docs(spark, [])).count() == 0
+
+
+def test_many_bare_keys_and_late_words(spark):
+    """Unlabelled credentials don't teach what is ordinary; ordinary words come from whole texts; no digit is needed."""
+    rng = random.Random(7)
+    key = lambda: "".join(rng.choices("BCDFGHJKLMNPQRSTVWXYZ", k=32))
+    texts = [f"{key()} {key()} {key()} {prose(30, i)}" for i in range(400)] + [f"{prose(20, i)} token={key()}" for i in range(150)]
+    rows = {r.doc_id: r for r in secrets.secret_report(docs(spark, texts)).collect()}
+    assert sum(rows[i].n_format for i in range(400)) > 0.9 * 1200
+    found = secrets.scanned(docs(spark, ["x " * 500 + "lateword token=abcdefghijklmnop", None, ""]), ["doc_id"]).collect()
+    assert sorted(w for r in found for w in r.words) == ["lateword", "x"]
+
+
+def test_candidates_that_touch_no_base_span():
+    text = "abcdefghijklmnopqrst deadbeefdeadbeef01 zz-deadbeefdeadbeef-tail " + "q" * 20
+    spans = secrets.base_spans(text)
+    assert [v for _, _, v in secrets.candidates(text, spans)] == ["abcdefghijklmnopqrst", "q" * 20]
+    many = "deadbeefdeadbeef " * 20_000 + "q" * 20
+    assert len(list(secrets.candidates(many, secrets.base_spans(many)))) == 1
