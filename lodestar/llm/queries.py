@@ -80,21 +80,32 @@ s as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
     word_chars / nullif(n_words, 0)::double as mean_word, n_symbols / nullif(n_words, 0)::double as symbol_rate,
     n_dup_lines / nullif(n_lines, 0)::double as dup_line_rate, n_repeat_words / nullif(n_words, 0)::double as repeat_rate from m),
 q as (select lang, source, grouping(lang) as gl, grouping(source) as gs, count(*) as n,
-    quantile_disc(mean_word, [0.25, 0.75]) as a, quantile_disc(symbol_rate, [0.25, 0.75]) as b,
-    quantile_disc(dup_line_rate, [0.25, 0.75]) as c, quantile_disc(repeat_rate, [0.25, 0.75]) as e
+    quantile_disc(mean_word, [0.5, {wide}, {low}]) as a, quantile_disc(symbol_rate, [0.5, {wide}]) as b,
+    quantile_disc(dup_line_rate, [0.5, {narrow}]) as c, quantile_disc(repeat_rate, [0.5, {narrow}]) as e
     from s where not base_failed group by grouping sets ((lang, source), (lang), ())),
 j as (select s.*, case when g.n >= 30 then g when l.n >= 30 then l else z end as k
     from s left join q g on g.gl = 0 and g.gs = 0 and g.lang = s.lang and g.source = s.source
-    left join q l on l.gl = 0 and l.gs = 1 and l.lang = s.lang left join q z on z.gl = 1)
+    left join q l on l.gl = 0 and l.gs = 1 and l.lang = s.lang left join q z on z.gl = 1),
+i as (select *, least(ceil(sqrt(0.15234375e0 / k.n) / 0.015625e0), 12)::int + 2 as iw,
+    least(ceil(sqrt(0.00775146484375e0 / k.n) / 0.0009765625e0), 8)::int + 2 as nw from j),
+x as (select *, (k.a[iw] + 3 * (k.a[iw] - k.a[1])) * n_words as ha, greatest(k.a[iw + 13] - 3 * (k.a[1] - k.a[iw + 13]), 0) * n_words as la,
+    (k.b[iw] + 3 * (k.b[iw] - k.b[1])) * n_words as hb, (k.c[nw] + 3 * (k.c[nw] - k.c[1])) * n_lines as hc,
+    (k.e[nw] + 3 * (k.e[nw] - k.e[1])) * n_words as he from i)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed
-    and not coalesce(mean_word > k.a[2] + 3 * greatest(k.a[2] - k.a[1], 1.0), false)
-    and not coalesce(mean_word < k.a[1] - 3 * greatest(k.a[2] - k.a[1], 1.0), false)
-    and not coalesce(symbol_rate > k.b[2] + 3 * greatest(k.b[2] - k.b[1], 0.25), false)
-    and not coalesce(dup_line_rate > k.c[2] + 3 * greatest(k.c[2] - k.c[1], 0.2), false)
-    and not coalesce(repeat_rate > k.e[2] + 3 * greatest(k.e[2] - k.e[1], 0.15), false) as kept
-from j
+    and not coalesce(word_chars > ha + 3.1e0 * sqrt(ha + 3.1e0 * 3.1e0), false)
+    and not coalesce(word_chars < la - 3.1e0 * sqrt(la + 3.1e0 * 3.1e0), false)
+    and not coalesce(n_symbols > hb + 3.1e0 * sqrt(hb + 3.1e0 * 3.1e0), false)
+    and not coalesce(n_dup_lines > hc + 3.1e0 * sqrt(hc + 3.1e0 * 3.1e0), false)
+    and not coalesce(n_repeat_words > he + 3.1e0 * sqrt(he + 3.1e0 * 3.1e0), false) as kept
+from x
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality": _OP8_SQL}
+    share = lambda n, of: ", ".join(f"{(n + i) / of}::double" for i in range(of - n + 1))
+    low = ", ".join(f"{(12 - i) / 64}::double" for i in range(13))
+    ladders = {"wide": share(52, 64), "low": low, "narrow": share(1016, 1024)}
+    sql = _OP8_SQL
+    for name, ranks in ladders.items():
+        sql = sql.replace(f"{{{name}}}", ranks)
+    return {"op8_quality": sql}

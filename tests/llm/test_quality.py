@@ -1,4 +1,3 @@
-import math
 import re
 
 from lodestar.llm import quality, queries
@@ -46,7 +45,41 @@ def test_edges(spark):
     assert quality.quality_report(docs(spark, [])).count() == 0
     nulls = docs(spark, [prose(60), prose(61)]).selectExpr("cast(null as bigint) doc_id", "text", "cast(null as string) lang", "cast(null as string) source")
     assert [r.kept for r in quality.quality_report(nulls).collect()] == [True, True]
-    clash = docs(spark, [prose(60), "short"]).selectExpr("*", "1 as n_words", "2 as kept", "3 as base_failed")
+    clash = docs(spark, [prose(60), "short"]).selectExpr("*", "1 as n_words", "false as kept", "3 as base_failed", "4 as hi_mean_word", "5 as __m", "6 as __row", "7 as __lang", "8 as __kept")
+    assert [tuple(r) for r in quality.keep_good(clash).collect()] == [tuple(clash.first())]
     assert quality.keep_good(clash).columns == clash.columns
-    assert [r.doc_id for r in quality.keep_good(clash).collect()] == [0]
-    assert math.isclose(quality.FENCE, 3.0)
+    assert quality.quality_report(clash).count() == 2
+    assert quality.keep_good(docs(spark, [])).count() == 0
+    twice = docs(spark, [prose(60)]).unionByName(docs(spark, [prose(60), None, ""]))
+    assert quality.keep_good(twice).count() == 2
+
+
+def test_same_text_in_different_groups(spark):
+    """What is usual in one source is a fault in another, for each signal."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"{w}" for w in prose(4000, 5).split()]
+    plain = lambda: rng.sample(words, 150)
+    lines = lambda ws, n: "\n".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+
+    def starred():
+        return " ".join(w + "*" if i % 3 == 0 else w for i, w in enumerate(plain()))
+
+    def long_words():
+        return " ".join(w * 2 for w in plain())
+
+    def repeating():
+        return lines([*(ws := plain()), *ws[:40]], 200)
+
+    def lined():
+        return lines(plain(), 3) + "\nnext page" * 40
+
+    usual = [lines(plain(), 10) for _ in range(200)] * 3
+    for make in (starred, long_words, repeating, lined):
+        odd = [make() for _ in range(60)]
+        rows = [(i, t, "en", "plain") for i, t in enumerate([*usual, odd[0]])] + [(1000 + i, t, "en", "odd") for i, t in enumerate(odd)]
+        got = {r.doc_id: r.kept for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert all(got[i] for i in range(600)), make
+        assert not got[600], make
+        assert all(got[1000 + i] for i in range(60)), make
