@@ -1,4 +1,7 @@
 import re
+import time
+
+import numpy as np
 
 from lodestar.llm import decontamination as d
 from lodestar.llm import queries
@@ -62,3 +65,51 @@ def test_edges(spark):
     assert d.drop_contaminated(rows, empty).count() == 3
     nulls = rows.selectExpr("cast(null as bigint) doc_id", "text")
     assert d.contaminations(nulls, bench(spark, [prose(20)]).selectExpr("cast(null as bigint) item_id", "text")).count() == 1
+
+
+def plain_overlaps(text, item):
+    """The same search, with every meeting of two seeds listed."""
+    hashes, _ = d.word_hashes([d.normalised(text)], d.WORD_BYTES)
+    other, _ = d.word_hashes([d.normalised(item)], d.WORD_BYTES)
+    shifts = set()
+    for mask in d.MASKS:
+        a, b = (dict(zip(*(x.tolist() for x in d.seeds(t, np.zeros(len(t), np.int64), mask)))) for t in (hashes, other))
+        shifts |= {i - j for i, x in a.items() for j, y in b.items() if x == y}
+    best = None
+    for s in sorted(shifts):
+        lo, hi = max(0, -s), min(len(other), len(hashes) - s)
+        a, b, equal = d.longest_overlap(hashes[lo + s : hi + s] == other[lo:hi])
+        if b - a >= min(d.MIN_OVERLAP, len(other)) and (best is None or b - a > best[2]):
+            best = (lo + s + a, lo + a, b - a, equal)
+    return best
+
+
+def test_repeated_words(monkeypatch):
+    texts = ["spam " * 400, "spam ham " * 150, "a b c " * 90 + "d " * 60, prose(50) + " spam" * 200, "spam " * 12, "x " + "spam ham eggs " * 70]
+    items = ["spam " * 90, "spam ham " * 40, "a b c " * 30, "d " * 45, prose(30, 2) + " spam" * 30, "spam spam ham " * 25]
+    for many in (d._MANY, 0, 1 << 40):
+        monkeypatch.setattr(d, "_MANY", many)
+        index = d.SeedIndex.of(list(enumerate(items)))
+        got = {(t, i): tuple(x) for t, i, *x in index.overlaps([d.normalised(t) for t in texts])}
+        want = {(t, i): x for t, a in enumerate(texts) for i, b in enumerate(items) if (x := plain_overlaps(a, b))}
+        assert got == want
+
+
+def test_hot_seeds_are_not_listed():
+    for word in ("spam ", "spam ham "):
+        index = d.SeedIndex.of([(0, word * 1000)])
+        started = time.time()
+        assert [x[4] for x in index.overlaps([(word * 20_000).encode()])] == [1000 * len(word.split())]
+        assert time.time() - started < 3
+
+
+def test_equal_items_in_blocks(spark, monkeypatch):
+    text = prose(40)
+    bench = spark.createDataFrame([(i, f"{text}{'.' * i}") for i in range(6)] + [(9, "too short")], "item_id long, text string")
+    few = docs(spark, [prose(10, 3) + " " + text, "clean words", None, "too short"]).selectExpr("*", "1 as item_id", "2 as n_equal", "3 as tokens")
+    for size in (d.BLOCK_BYTES, 100):
+        monkeypatch.setattr(d, "BLOCK_BYTES", size)
+        assert [(r.doc_id, r.item_id) for r in d.contaminations(few, bench).collect()] == [(0, 0)]
+        left = d.drop_contaminated(few, bench)
+        assert left.columns == few.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3]
+    assert d.drop_contaminated(few, bench.limit(0)).count() == 4
