@@ -14,11 +14,29 @@ def _smallest(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "a")
 
 
+#: A key with over one in so many of the rows is hot; there are fewer of them than this.
+HOT_SHARE = 1000
+
+
+def attached(many: DataFrame, one: DataFrame, on: str, weight: str) -> DataFrame:
+    """``many`` joined to the only row that ``one`` has for each value of ``on``; rows without one are left out.
+
+    ``weight`` is a column of ``one``: how many rows of ``many`` have its value. The fewer than HOT_SHARE values with
+    more than a share of 1 / HOT_SHARE are sent to every task, so that their rows stay where they are; the others
+    are joined by shuffling. Both tables are read twice, so they should be written ones.
+    """
+    total = one.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
+    hot = F.broadcast(one.where(is_hot).drop(weight))
+    rest = many.join(F.broadcast(one.where(is_hot).select(on)), on, "left_anti").join(one.where(~is_hot).drop(weight), on)
+    return many.join(hot, on).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node in ``edges`` (columns a and b, longs); root: the smallest node that it reaches.
 
     Alternates large-star and small-star steps until the edges no longer change. Each step is a partial aggregate and
-    a join by node, both of which split hot nodes, and its edges are written to the shared folder. Self-loops and
+    a sort-merge join by node, whose hot nodes adaptive execution splits, and its edges are written to the shared folder. Self-loops and
     repeated edges are allowed; an empty edge list gives an empty result.
     """
     now = written(

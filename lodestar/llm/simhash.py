@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.components import connected_components
+from lodestar.llm.components import attached, connected_components
 from lodestar.llm.store import written
 
 SEED = 42
@@ -201,10 +201,10 @@ def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words:
     group's minimum. An empty table gives an empty result.
     """
     hashed = written(fingerprints(docs, key, text, n_words))
-    nodes = written(hashed.groupBy("fp").agg(F.min(key).alias("least")))
+    nodes = written(hashed.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("times")))
     roots = connected_components(links(nodes))
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "times", F.coalesce("root", "fp").alias("root"))
     grouped = written(grouped)
-    best = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    named = grouped.join(best, "root").select("fp", "component")
-    return hashed.join(named, "fp").select(key, "fp", "component")
+    best = written(grouped.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("nodes")))
+    named = written(attached(grouped.select("fp", "times", "root"), best, "root", "nodes").select("fp", "times", "component"))
+    return attached(hashed, named, "fp", "times").select(key, "fp", "component")

@@ -13,10 +13,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.components import connected_components
+from lodestar.llm.components import attached, connected_components
 from lodestar.llm.simhash import SEED, codeword_indices
 from lodestar.llm.store import written
 
@@ -25,7 +25,7 @@ MIN_SIMILARITY = 0.8
 LANES = 16
 #: Each table uses one segment's codeword indices and the first bits of the next segment. A key has 12 bits and these;
 #: a much larger corpus wants more of them (one for each doubling), and more tables.
-TABLES = 16
+TABLES = 24
 EXACT_BITS = 8
 #: Differing bits among the first 128 up to which two fingerprints are candidates: 2.5 deviations above the mean at 0.8.
 HEAD_BITS = 30
@@ -272,26 +272,26 @@ def similarity(fa: str, na: str, fb: str, nb: str) -> F.Column:
     return shared / (F.col(na) + F.col(nb) - shared)
 
 
-def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component): the smallest key that a row reaches over links of similar texts.
+def _grouped(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Written rows (__key, __hash, node), one for each of ``docs``, and every node with its group's root.
 
     Texts are linked if the Jaccard similarity of their shingle sets is MIN_SIMILARITY or more. Those whose first 128
     fingerprint bits agree are one node, made before any exchange of keys, so copies of any number cost one; it is
-    compared by the set of the text with the smallest key. Texts without words (and null ones) are copies of each other. Rows with equal keys are each
-    returned; a null key is in no group's minimum. An empty table gives an empty result.
+    compared by the set of the text with the smallest key. Texts without words (and null ones) are copies of each other.
     """
     key_type = docs.schema[key].dataType.simpleString()
+    keyed = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"), _text_hash(text).alias("__hash"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(b or b"") for b in batch.column(1).cast(pa.binary()).to_pylist()]
             fps = pa.array([fingerprint(h) for h in sets], pa.list_(pa.int64()))
             sizes = pa.array([len(h) for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps, sizes], names=[key, "fp", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps, sizes], names=["__key", "__hash", "fp", "n"])
 
-    rows = docs.select(key, text).mapInArrow(hashed, f"`{key}` {key_type}, fp array<long>, n long")
+    rows = keyed.mapInArrow(hashed, f"__key {key_type}, __hash long, fp array<long>, n long")
     rows = written(rows.withColumn("node", F.xxhash64(F.col("fp")[0], F.col("fp")[1])))
-    nodes = written(rows.groupBy("node").agg(F.min(key).alias("least"), F.min(F.struct("n", "fp")).alias("s")).select("node", "least", "s.n", "s.fp"))
+    nodes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(F.col("__key").isNull().alias("none"), "__key", "__hash", "n", "fp")).alias("s")).select("node", "times", "s.*"))
     worded = nodes.where("n > 0")
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("n").alias(f"n{c}"))
 
@@ -307,9 +307,9 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         likely = pairs.join(side("a"), "a").join(side("b"), "b").where(similarity("fa", "na", "fb", "nb") >= MIN_SIMILARITY - SLACK)
         likely = written(likely.select("a", "b"))
         ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        keys = nodes.join(ends, "node", "left_semi").select(F.col("least").alias("__least")).distinct()
-        texts = docs.select(key, text).join(keys, F.col(key).eqNullSafe(F.col("__least")), "left_semi").select(text)
-        # a key may repeat with other texts
+        # one text of each node, however many copies it has
+        named = nodes.join(ends, "node", "left_semi").select(F.col("__key").alias("k"), F.col("__hash").alias("h"))
+        texts = keyed.join(named, (F.col("__hash") == F.col("h")) & F.col("__key").eqNullSafe(F.col("k")), "left_semi").select("__text")
         sets = texts.mapInArrow(shingled, "w0 long, w1 long, h array<long>").groupBy(F.xxhash64("w0", "w1").alias("node")).agg(F.min("h").alias("h"))
         sets = written(sets)
         of = lambda c: sets.select(F.col("node").alias(c), F.col("h").alias(f"h{c}"))
@@ -325,18 +325,47 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         # a pair is left out only where pairs that were verified connect it
         split = worded.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
         roots = connected_components(alike.unionByName(verified(remaining(split, crowded))))
-    named = written(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    best = named.groupBy("root").agg(F.min("least").alias("component"))
-    return rows.select(key, "node").join(named.join(best, "root").select("node", "component"), "node").select(key, "component")
+    return rows.select("__key", "__hash", "node"), written(nodes.select("node", "times").join(roots, "node", "left").select("node", "times", F.coalesce("root", "node").alias("root")))
+
+
+def _text_hash(text: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def _named(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """__key, __hash and the first (key, hash) of the row's group, for every row; a null key comes last."""
+    order = F.struct(F.col("__key").isNull().alias("none"), "__key", "__hash")
+    least = rows.groupBy("node").agg(F.min(order).alias("least"))
+    tops = written(nodes.join(least, "node"))
+    best = written(tops.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("nodes")))
+    named = written(attached(tops.select("node", "times", "root"), best, "root", "nodes").select("node", "times", "first"))
+    return attached(rows, named, "node", "times").select("__key", "__hash", "first")
+
+
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component): the smallest key that a row reaches over links of similar texts, for every row.
+
+    Texts are linked if the Jaccard similarity of their sets of five-word shingles is MIN_SIMILARITY or more. Texts
+    without words, empty and null ones are copies of each other. Rows with equal keys are each returned, and may be in
+    different groups; a group of null keys alone has a null component. An empty table gives an empty result; other
+    columns are not read, whatever their names.
+    """
+    return _named(*_grouped(docs, key, text)).select(F.col("__key").alias(key), F.col("first.__key").alias("component"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each near-duplicate group: that with the smallest key, with its own columns.
+    """One row of each near-duplicate group, with its own columns, whatever their names.
 
-    Rows with a null key are kept. Of rows that repeat a kept key, the one with the smallest text hash stays.
+    It is the one with the smallest key, then the lowest text hash; null keys come last. Keys may repeat: what is
+    chosen is a row, and other texts under its key are judged by their own groups. Of rows that share key and text
+    any one stays. Empty and null texts are one group. An empty table gives an empty result.
     """
-    kept = grouped(docs, key, text).where(F.col(key) == F.col("component")).select(F.col(key).alias("__kept")).distinct()
-    rows = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("__kept"), "left_semi")
-    first = Window.partitionBy(key).orderBy(F.xxhash64(text), *[c for c in docs.columns if c != key])
-    rows = rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
-    return rows.unionByName(docs.where(F.col(key).isNull()))
+    chosen = F.col("__key").eqNullSafe(F.col("first.__key")) & (F.col("__hash") == F.col("first.__hash"))
+    kept = written(_named(*_grouped(docs, key, text)).where(chosen).groupBy("__key", "__hash").agg(F.count(F.lit(1)).alias("__times")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(f"`{key}`").alias("__k"), _text_hash(text).alias("__h"), row.alias("__row"))
+    rows = rows.join(kept, F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__hash")))
+    single = rows.where("__times = 1").select("__row")
+    if not kept.where("__times > 1").isEmpty():
+        single = single.unionByName(rows.where("__times > 1").groupBy("__k", "__h").agg(F.first("__row").alias("__row")).select("__row"))
+    return single.select("__row.*")

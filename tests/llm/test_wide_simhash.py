@@ -160,4 +160,16 @@ def test_edges(spark):
     kept = wide_simhash.keep_one(twice)
     assert kept.columns == twice.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1]
     nulls = spark.createDataFrame([(None, "a b c d", "en", "s", 1), (4, "a b c d", "en", "s", 1), (5, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(str(r.doc_id) for r in wide_simhash.keep_one(nulls).collect()) == ["4", "5", "None"]
+    assert sorted(str(r.doc_id) for r in wide_simhash.keep_one(nulls).collect()) == ["4", "5"]
+
+
+def test_repeated_keys_keep_their_texts(spark):
+    x, y = prose(80, 1), prose(80, 2)
+    rows = docs(spark, []).sparkSession.createDataFrame([(1, x, 1), (1, y, 2), (2, x, 3), (3, y, 4), (1, x, 1), (None, y, 5), (None, prose(60, 3), 6)], "doc_id long, text string, node int")
+    kept = wide_simhash.keep_one(rows)
+    assert kept.columns == rows.columns
+    assert sorted((r.doc_id or 0, r.text == x, r.node) for r in kept.collect()) == [(0, False, 6), (1, False, 2), (1, True, 1)]
+    assert sorted((r.doc_id or 0, r.component or 0) for r in wide_simhash.grouped(rows).collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+    assert wide_simhash.keep_one(rows.limit(0)).count() == 0
+    clash = rows.selectExpr("*", "1 as __key", "2 as root", "3 as first", "4 as __times", "5 as __hash")
+    assert wide_simhash.keep_one(clash).columns == clash.columns
