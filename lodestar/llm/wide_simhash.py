@@ -34,11 +34,15 @@ BLOCK = 256
 #: A key with over BLOCK fingerprints, or over this many close pairs for each, is crowded: its pairs are not listed at
 #: once, but a forest of them is checked first, then every pair that the checked ones leave unconnected.
 PAIRS_EACH = 2
+#: Crowded keys of so many tables give forests, which is enough to connect copies of each other; those of the other
+#: tables are looked at once the forests' pairs have been checked.
+FOREST_TABLES = 3
+_TABLE_BIT = 50
 #: Pairs that a task holds before it hands them on.
 _HELD = 200_000
 #: The similarity is first read off the fingerprints, with a standard error of about 0.026; pairs that are short of the
-#: minimum by no more than four of these are compared by their shingle sets.
-SLACK = 4 * 0.026
+#: minimum by no more than two and a half of these are compared by their shingle sets.
+SLACK = 2.5 * 0.026
 _CHUNK = 255 * 8
 _FLIPS = np.concatenate(([0], 1 << np.arange(23)))
 
@@ -95,7 +99,7 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.concatenate([np.ones((len(fps), 1), bool), around[:, 1:] != around[:, :-1]], axis=1)
         row, col = np.nonzero(first)
         rows.append(row)
-        keys.append((np.int64(t) << 50) | (exact[row].astype(np.int64) << 12) | around[row, col])
+        keys.append((np.int64(t) << _TABLE_BIT) | (exact[row].astype(np.int64) << 12) | around[row, col])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -161,7 +165,10 @@ def nearest_forest(keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def first_pairs(keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions (a, b) of all close pairs of keys that are not crowded and of a forest of the others, and which are of those."""
+    """Positions (a, b) of all close pairs of keys that are not crowded and of a forest of the others, and which are of those.
+
+    Of the crowded keys of all but FOREST_TABLES tables one pair each is given.
+    """
     new = np.concatenate(([True], keys[1:] != keys[:-1]))
     group = np.cumsum(new) - 1
     size = np.bincount(group)
@@ -175,7 +182,14 @@ def first_pairs(keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(many):
         return a, b, np.zeros(len(a), bool)
     c, d = nearest_forest(keys[many], heads[many])
-    return np.concatenate((a[listed], many[c])), np.concatenate((b[listed], many[d])), np.arange(listed.sum() + len(c)) >= listed.sum()
+    c, d = many[c], many[d]
+    # a key of the other tables is only named, by one of its pairs
+    c_keys = keys[c]
+    named = np.zeros(len(c), bool)
+    named[np.unique(c_keys, return_index=True)[1]] = True
+    chosen = named | (c_keys >> _TABLE_BIT < FOREST_TABLES)
+    c, d = c[chosen], d[chosen]
+    return np.concatenate((a[listed], c)), np.concatenate((b[listed], d)), np.arange(listed.sum() + len(c)) >= listed.sum()
 
 
 def pairs_across(keys: np.ndarray, roots: np.ndarray, heads: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -186,6 +200,13 @@ def pairs_across(keys: np.ndarray, roots: np.ndarray, heads: np.ndarray) -> Iter
         yield a, b
 
 
+def estimated(fps: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of pairs of shingle sets, from their fingerprints and sizes."""
+    far = np.bitwise_count((fps[a] ^ fps[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    shared = np.cos(far * (np.pi / (64 * LANES))) * np.sqrt(sizes[a] * sizes[b].astype(float))
+    return shared / (sizes[a] + sizes[b] - shared)
+
+
 def _keyed(nodes: DataFrame) -> DataFrame:
     """k, w0, w1 and root for every key of every node; ``nodes`` has columns fp and root."""
 
@@ -249,20 +270,30 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def remaining(nodes: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of every close pair of nodes with different roots under the ``crowded`` keys (column k)."""
+    """Distinct pairs (a, b) of nodes with different roots that are likely similar, under the ``crowded`` keys (column k).
+
+    ``nodes`` has columns node, fp, n and root.
+    """
 
     def listed(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         held, n = [], 0
+        fps = table.column("fp").combine_chunks().flatten().to_numpy().reshape(-1, LANES)
+        sizes = table.column("n").to_numpy()
         for a, b in pairs_across(table.column("k").to_numpy(), table.column("root").to_numpy(), _heads(table)):
-            held.append((a, b))
-            n += len(a)
+            for at in range(0, len(a), _HELD):
+                x, y = a[at : at + _HELD], b[at : at + _HELD]
+                alike = estimated(fps, sizes, x, y) >= MIN_SIMILARITY - SLACK
+                held.append((x[alike], y[alike]))
+                n += int(alike.sum())
             if n >= _HELD:
                 yield *(np.concatenate(x) for x in zip(*held, strict=True)), np.zeros(n, bool)
                 held, n = [], 0
         if n:
             yield *(np.concatenate(x) for x in zip(*held, strict=True)), np.zeros(n, bool)
 
-    return _by_key(_keyed(nodes).join(crowded, "k", "left_semi"), ["root"], listed).select("a", "b").distinct()
+    # fingerprints are joined to the rows of crowded keys alone
+    keyed = _keyed(nodes).join(crowded, "k", "left_semi").withColumn("node", F.xxhash64("w0", "w1"))
+    return _by_key(keyed.join(nodes.select("node", "fp", "n"), "node"), ["root"], listed).select("a", "b").distinct()
 
 
 def similarity(fa: str, na: str, fb: str, nb: str) -> F.Column:
@@ -303,27 +334,29 @@ def _grouped(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
                 [pa.array(heads[:, 0]), pa.array(heads[:, 1]), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["w0", "w1", "h"]
             )
 
+    def likely(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(similarity("fa", "na", "fb", "nb") >= MIN_SIMILARITY - SLACK).select("a", "b")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").where(similarity("fa", "na", "fb", "nb") >= MIN_SIMILARITY - SLACK)
-        likely = written(likely.select("a", "b"))
-        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        pairs = written(pairs)
+        ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
         # one text of each node, however many copies it has
         named = nodes.join(ends, "node", "left_semi").select(F.col("__key").alias("k"), F.col("__hash").alias("h"))
         texts = keyed.join(named, (F.col("__hash") == F.col("h")) & F.col("__key").eqNullSafe(F.col("k")), "left_semi").select("__text")
         sets = texts.mapInArrow(shingled, "w0 long, w1 long, h array<long>").groupBy(F.xxhash64("w0", "w1").alias("node")).agg(F.min("h").alias("h"))
         sets = written(sets)
         of = lambda c: sets.select(F.col("node").alias(c), F.col("h").alias(f"h{c}"))
-        both = likely.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("ha", "hb")))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("ha", "hb")))
         share = F.col("shared") / (F.size("ha") + F.size("hb") - F.col("shared"))
         return written(both.where(share >= MIN_SIMILARITY).select("a", "b"))
 
     found = written(candidates(worded))
-    alike = verified(found.select("a", "b").distinct())
+    alike = verified(likely(found.select("a", "b").distinct()))
     roots = connected_components(alike)
     crowded = written(found.where("k is not null").select("k").distinct())
     if not crowded.isEmpty():
         # a pair is left out only where pairs that were verified connect it
-        split = worded.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+        split = worded.join(roots, "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("root"))
         roots = connected_components(alike.unionByName(verified(remaining(split, crowded))))
     return rows.select("__key", "__hash", "node"), written(nodes.select("node", "times").join(roots, "node", "left").select("node", "times", F.coalesce("root", "node").alias("root")))
 
