@@ -50,14 +50,25 @@ def block_keys(records: DataFrame, methods: Sequence[str], settings: Blocking =
     ).select("k.method", "k.key", "source", "entity_id", "country")
 
 
-def block(reference: DataFrame, candidates: DataFrame, methods: Sequence[str], settings: Blocking = Blocking(), schema: Schema = Schema()) -> DataFrame:
-    """Pairs that share a key of a method, and (if asked for) don't name different countries; one row per pair and method."""
+def block(
+    reference: DataFrame, candidates: DataFrame, methods: Sequence[str], settings: Blocking = Blocking(), schema: Schema = Schema(), first: int | None = None
+) -> DataFrame:
+    """Pairs that share a key of a method, and (if asked for) don't name different countries; one row per pair and method.
+
+    ``first``: only candidates among so many first ones by (source, id) of a method, key and country are joined. That is
+    enough for the first ``first`` candidates of each reference record and all their methods: a record that comes after
+    so many others of a key it shares comes after them among all candidates too.
+    """
     left = block_keys(reference, methods, settings, schema).select(
         "method", "key", F.col("source").alias(PAIR[0]), F.col("entity_id").alias(PAIR[1]), F.col("country").alias("rc")
     )
     right = block_keys(candidates, methods, settings, schema).where(F.col("entity_id") != "").select(
         "method", "key", F.col("source").alias(PAIR[2]), F.col("entity_id").alias(PAIR[3]), F.col("country").alias("cc")
     )
+    if first is not None:
+        # a rank limit is applied before the exchange as well, so a common key sends few rows from each task
+        order = Window.partitionBy("method", "key", "cc").orderBy(*PAIR[2:])
+        right = right.withColumn("__n", F.dense_rank().over(order)).where(F.col("__n") <= first).drop("__n")
     gate = (F.col("rc") == "") | (F.col("cc") == "") | (F.col("rc") == F.col("cc")) if settings.use_country else F.lit(True)
     return left.join(right, ["method", "key"]).where(gate).select(*PAIR, "method")
 
@@ -94,7 +105,7 @@ def deduplicate_candidates(pairs: DataFrame) -> DataFrame:
 
 def generate_candidates(reference: DataFrame, candidates: DataFrame, settings: Blocking = Blocking(), schema: Schema = Schema()) -> DataFrame:
     """Pairs from all probed methods; each reference record keeps its first ``max_candidates`` by (source, id)."""
-    pairs = merged(block(reference, candidates, settings.probed, settings, schema))
+    pairs = merged(block(reference, candidates, settings.probed, settings, schema, settings.max_candidates))
     order = Window.partitionBy(*PAIR[:2]).orderBy(*PAIR[2:])
     return pairs.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= settings.max_candidates).drop("__n")
 

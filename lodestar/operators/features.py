@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -13,27 +14,41 @@ from lodestar.config import Features, Schema
 from lodestar.functions import similarity as S
 from lodestar.operators.blocking import PAIR
 
+# All features, in their stated order.
 ALL_FEATURES = (
     "name_exact", "name_token_jaccard", "name_character_similarity", "name_edit_similarity", "name_tfidf_cosine", "name_token_overlap",
     "name_length_difference", "name_token_count_difference", "name_prefix_similarity", "name_suffix_similarity", "name_order_insensitive_similarity",
     "address_exact", "address_token_jaccard", "address_character_similarity", "address_edit_similarity", "address_tfidf_cosine",
     "address_token_overlap", "address_length_difference", "address_postal_agreement", "address_locality_overlap",
-    "country_exact", "country_compatible", "name_address_exact", "name_address_similarity", "reference_source_code", "candidate_source_code",
+    "country_exact", "country_compatible", "name_address_exact", "name_address_similarity", "reference_source", "candidate_source",
     "missing_name", "missing_address", "missing_country",
 )
-_FAMILIES = ("name", "address", "country", "combined", "missing")
+# What stands for a whole family in the settings, and how its names begin or end.
+_FAMILIES = {"name": "^name_", "address": "^address_", "country": "^country_", "combined": "^name_address", "missingness": "^missing_", "source": "_source$"}
+#: Pairs have text columns of these names, so the features are columns of others.
+_COLUMNS = {"reference_source": "reference_source_code", "candidate_source": "candidate_source_code"}
 _FIELDS = ("name_normalized", "address_normalized", "country_normalized", "name_tokens", "address_tokens", "address_postal_tokens", "address_locality_tokens")
 
 
 def feature_names(config: Features = Features()) -> list[str]:
-    """Enabled names in their order, then the whole name or address family if any of its names is enabled; all if none is."""
-    if not config.enabled:
-        return list(ALL_FEATURES)
-    listed = [f for f in ALL_FEATURES if f in config.enabled or f.split("_")[0] in config.enabled]
-    for family in ("name_", "address_"):
-        if any(e.startswith(family) for e in config.enabled):
-            listed += [f for f in ALL_FEATURES if f.startswith(family)]
-    return list(dict.fromkeys(listed))
+    """Names that are enabled themselves or by their family, in their order, then the whole name or address family if any of its names is enabled.
+
+    All names if nothing is enabled, or nothing that is enabled is known.
+    """
+    def of(family: str) -> list[str]:
+        return [f for f in ALL_FEATURES if re.search(_FAMILIES[family], f)]
+
+    asked = {f for e in config.enabled for f in (of(e) if e in _FAMILIES else [e])}
+    chosen = [f for f in ALL_FEATURES if f in asked]
+    for family in ("name", "address"):
+        if any(e.startswith(f"{family}_") for e in config.enabled):
+            chosen += of(family)
+    return list(dict.fromkeys(chosen)) or list(ALL_FEATURES)
+
+
+def feature_columns(names: Sequence[str]) -> list[str]:
+    """The columns that hold these features."""
+    return [_COLUMNS.get(f, f) for f in names]
 
 
 @dataclass(frozen=True)
@@ -103,7 +118,7 @@ def pair_features(
     sources: Sequence[str] = (), names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Pairs with the chosen features as doubles. ``sources``: all source names, whose order gives the source codes."""
-    names = feature_names(config) if names is None else list(names)
+    names = feature_columns(feature_names(config) if names is None else names)
     df = looked_up(pairs, records, schema)
     for field in ("name", "address"):
         if f"{field}_tfidf_cosine" in names:

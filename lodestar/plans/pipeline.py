@@ -69,7 +69,7 @@ def fit(records: DataFrame, truth: DataFrame, config: Config = Config()) -> tupl
     split = written(E.validation_split(truth, config.validation, s))
     labelled = E.label_pairs(pairs, links)
     held = split.where("is_validation").select(B.PAIR[1])
-    names = Fe.feature_names(config.features)
+    names = Fe.feature_columns(Fe.feature_names(config.features))
     seen = records.join(held.withColumnRenamed(B.PAIR[1], s.entity_id), s.entity_id, "left_anti")
     idf = Fe.fit_feature_transformers(seen, config.features)
     featured = written(Fe.pair_features(labelled, records, idf, config.features, s, config.dataset.sources, names))

@@ -18,6 +18,7 @@ from lodestar.operators import profiling as P
 from lodestar.operators import resolve as D
 from lodestar.operators.records import prepare
 from lodestar.plans import sql as S
+from lodestar.sources.shared import written
 from lodestar.sources.tables import records_from_documents
 
 THRESHOLD = 0.6
@@ -122,7 +123,7 @@ _STRATEGIES = {
     "no suffixes": lambda: T.simple_strategy(F.col("business_name"), sort_words=True, remove_suffixes=True),
 }
 _COLUMNS = ["entity_id", "business_name", "business_address", "country"]
-_PLAIN = [f for f in Fe.ALL_FEATURES if "tfidf" not in f and "character" not in f and "_code" not in f and f not in ("address_prefix_similarity", "address_suffix_similarity")]
+_PLAIN = [f for f in Fe.ALL_FEATURES if "tfidf" not in f and "character" not in f and not f.endswith("_source") and f not in ("address_prefix_similarity", "address_suffix_similarity")]
 _NGRAM = Blocking(use_ngrams=True)
 
 
@@ -135,7 +136,7 @@ _LABELLED = ["name_token_jaccard", "name_edit_similarity", "address_token_jaccar
 
 
 def match_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = labelled_features(spark, sf).persist()
+    rows = written(labelled_features(spark, sf))
     model = M.train(rows, _LABELLED)
     return M.predict_probability(model, rows).select(*ID, "target", F.round("score", 6).alias("score"))
 
@@ -285,4 +286,7 @@ def oracle_sql() -> dict[str, str]:
     return found
 
 
-HEADLINE = ("prepared_records", "blocking_topk", "profile_columns", "normalization_collisions")
+HEADLINE = (
+    "prepared_records", "blocking_candidates", "blocking_topk", "blocking_metrics", "feat_jaccard", "macro_metrics", "threshold_sweep", "match_lists",
+    "profile_columns", "normalization_collisions",
+)

@@ -97,6 +97,11 @@ def test_loading_errors(spark, tmp_path):
 
 def test_configuration(tmp_path):
     assert Fe.feature_names() == DEFAULT
+    assert Fe.feature_names(Features(enabled=("combined",))) == ["name_address_exact", "name_address_similarity"]
+    assert Fe.feature_names(Features(enabled=("missingness", "country"))) == ["country_exact", "country_compatible", "missing_name", "missing_address", "missing_country"]
+    assert Fe.feature_names(Features(enabled=("source",))) == ["reference_source", "candidate_source"]
+    assert Fe.feature_names(Features(enabled=("unknown",))) == list(Fe.ALL_FEATURES)
+    assert Fe.feature_columns(["name_exact", "candidate_source"]) == ["name_exact", "candidate_source_code"]
     assert Fe.feature_names(Features(enabled=())) == list(Fe.ALL_FEATURES)
     with pytest.raises(ConfigurationError, match="threshold.*sweep"):
         config_from_mapping({"inference": {"threshold": 2}, "sweep": {"step": 0}})
