@@ -207,6 +207,18 @@ def estimated(fps: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray)
     return shared / (sizes[a] + sizes[b] - shared)
 
 
+def at_first_key(keys: np.ndarray, fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs stand under the smallest key that both fingerprints have, so that a pair counts under one key only."""
+    places, where = np.unique(np.concatenate((a, b)), return_inverse=True)
+    rows, own = fuzzy_keys(fps[places])
+    own = own[np.lexsort((own, rows))]
+    begins = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(places)))))
+    sets = [own[x:y] for x, y in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+    pairs = zip(where[: len(a)].tolist(), where[len(a) :].tolist(), strict=True)
+    smallest = np.fromiter((np.intersect1d(sets[x], sets[y], assume_unique=True)[0] for x, y in pairs), np.int64, len(a))
+    return keys[a] == smallest
+
+
 def _keyed(nodes: DataFrame) -> DataFrame:
     """k, w0, w1 and root for every key of every node; ``nodes`` has columns fp and root."""
 
@@ -278,13 +290,16 @@ def remaining(nodes: DataFrame, crowded: DataFrame) -> DataFrame:
     def listed(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         held, n = [], 0
         fps = table.column("fp").combine_chunks().flatten().to_numpy().reshape(-1, LANES)
-        sizes = table.column("n").to_numpy()
-        for a, b in pairs_across(table.column("k").to_numpy(), table.column("root").to_numpy(), _heads(table)):
+        sizes, keys = table.column("n").to_numpy(), table.column("k").to_numpy()
+        for a, b in pairs_across(keys, table.column("root").to_numpy(), _heads(table)):
             for at in range(0, len(a), _HELD):
                 x, y = a[at : at + _HELD], b[at : at + _HELD]
                 alike = estimated(fps, sizes, x, y) >= MIN_SIMILARITY - SLACK
-                held.append((x[alike], y[alike]))
-                n += int(alike.sum())
+                x, y = x[alike], y[alike]
+                # pairs whose first common key isn't crowded were all listed before
+                once = at_first_key(keys, fps, x, y) if len(x) else alike[:0]
+                held.append((x[once], y[once]))
+                n += int(once.sum())
             if n >= _HELD:
                 yield *(np.concatenate(x) for x in zip(*held, strict=True)), np.zeros(n, bool)
                 held, n = [], 0
