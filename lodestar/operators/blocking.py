@@ -162,6 +162,13 @@ def recall_by_country(pairs: DataFrame, links: DataFrame, reference: DataFrame,
     )
 
 
+def singletons_with_candidates(pairs: DataFrame, links: DataFrame, reference: DataFrame, schema: Schema = Schema()) -> DataFrame:
+    """One row: reference records without a true link, and how many of them got candidates all the same."""
+    alone = reference.select(F.col(schema.entity_id).alias(PAIR[1])).distinct().join(links, PAIR[1], "left_anti")
+    met = pairs.select(PAIR[1]).distinct().withColumn("hit", F.lit(1))
+    return alone.join(met, PAIR[1], "left").agg(F.count(F.lit(1)).alias("singletons"), F.count("hit").alias("singletons_with_candidates"))
+
+
 def candidates_per_reference(pairs: DataFrame, reference: DataFrame, schema: Schema = Schema()) -> DataFrame:
     """One row: references with candidates, and the mean, median and most candidates of a reference record."""
     n = pairs.groupBy(PAIR[1]).agg(F.count_distinct(PAIR[3]).alias("n"))

@@ -154,12 +154,13 @@ def pair_features(
 
 
 def feature_summary(df: DataFrame, names: Sequence[str], label: str = "target") -> DataFrame:
-    """feature, minimum, maximum, mean, nulls, mean of positives and of negatives, and their difference."""
+    """feature, minimum, maximum, mean, nulls, infinities, mean of positives and of negatives, and their difference."""
     def row(f: str) -> DataFrame:
         c = F.col(f)
         pos, neg = F.avg(F.when(F.col(label) == 1, c)), F.avg(F.when(F.col(label) == 0, c))
         return F.struct(
             F.lit(f).alias("feature"), F.min(c).alias("minimum"), F.max(c).alias("maximum"), F.avg(c).alias("mean"), F.count_if(c.isNull()).alias("nulls"),
+            F.count_if(F.abs(c) == float("inf")).alias("infinities"),
             pos.alias("mean_positive"), neg.alias("mean_negative"), (pos - neg).alias("difference"),
         )
 

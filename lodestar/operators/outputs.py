@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.config import Config, Schema
 from lodestar.functions.text import text_of
 from lodestar.operators.resolve import candidate_lists, match_lists
-from lodestar.sources.tables import check_columns, write_delimited
+from lodestar.sources.tables import check_columns, load_table, write_delimited
 
 
 class SubmissionValidationError(ValueError):
@@ -84,7 +84,8 @@ def out_of_order(reference: DataFrame, lists: DataFrame, schema: Schema = Schema
     w = Window.partitionBy("block").orderBy("row_index")
     inner = rows.withColumn("before", F.lag("want").over(w))
     edges = rows.groupBy("block").agg(F.max_by("want", "row_index").alias("last"))
-    edges = edges.withColumn("block", F.col("block") + 1)
+    # one row per 100,000; the block before is the last that has rows, as row numbers of several files leave gaps
+    edges = edges.select("block", F.lag("last").over(Window.orderBy("block")).alias("last"))
     joined = inner.join(edges, "block", "left").withColumn("before", F.coalesce("before", "last"))
     return joined.where(F.col("before") > F.col("want")).select(*_finding("out of order", F.col(schema.truth_id), F.lit("")))
 
@@ -114,9 +115,18 @@ def validate_outputs(reference: DataFrame, candidates: DataFrame, matches: DataF
 
 
 def generate_outputs(reference: DataFrame, candidates: DataFrame, pairs: DataFrame, decided: DataFrame, config: Config = Config()) -> dict[str, str]:
-    """Build both lists, check them, and write them as one file each; returns the files."""
+    """Build both lists, check them, and write them as one file each; returns the files.
+
+    Where ``reference`` has row_index, the written rows are read again and must be in its order.
+    """
     s = config.schema
     matches, listed = match_lists(reference, decided, s), candidate_lists(reference, pairs, s)
     validate_outputs(reference, candidates, matches, listed, s)
     folder = config.output.folder
-    return {name: write_delimited(df, f"{folder}/{name}") for name, df in ((config.output.matches, matches), (config.output.candidates, listed))}
+    files = {name: write_delimited(df, f"{folder}/{name}") for name, df in ((config.output.matches, matches), (config.output.candidates, listed))}
+    if "row_index" in reference.columns:
+        for path in files.values():
+            rows = load_table(reference.sparkSession, path).withColumn("row_index", F.monotonically_increasing_id())
+            if late := out_of_order(reference, rows, s).take(5):
+                raise SubmissionValidationError(f"{path}: out of order: {[r.reference_entity_id for r in late]}")
+    return files

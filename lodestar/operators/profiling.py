@@ -110,6 +110,33 @@ def normalization_collisions(df: DataFrame, column: str, strategies: Mapping[str
     )
 
 
+def strategy_comparison(df: DataFrame, strategies: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """Per source, column and strategy: raw_unique, normalized_unique, unique_change, collision_groups and collision_rate.
+
+    ``strategies``: for each column its strategies. Null values count as empty ones.
+    """
+    variants = [
+        F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("strategy"), F.coalesce(c, F.lit("")).alias("raw"), F.coalesce(v, F.lit("")).alias("norm"))
+        for c, of in strategies.items() for k, v in of.items()
+    ]
+    rows = df.select("source", F.explode(F.array(*variants)).alias("x")).select("source", "x.*").distinct()
+    keys = ["source", "column_name", "strategy"]
+    # a raw value has one normal form, so the raw values of the forms add up to all of them
+    by = rows.groupBy(*keys, "norm").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(
+        F.sum("n").alias("raw_unique"), F.count(F.lit(1)).alias("normalized_unique"), F.count_if(F.col("n") > 1).alias("collision_groups")
+    )
+    return by.select(
+        *keys, "raw_unique", "normalized_unique", (F.col("normalized_unique") - F.col("raw_unique")).alias("unique_change"), "collision_groups",
+        (F.col("collision_groups") / F.col("normalized_unique")).alias("collision_rate"),
+    )
+
+
+def strategy_summary(comparison: DataFrame) -> DataFrame:
+    """Per strategy: means of unique_change and collision_rate and all collision_groups, fewest collisions first."""
+    by = comparison.groupBy("strategy").agg(F.avg("unique_change").alias("unique_change"), F.avg("collision_rate").alias("collision_rate"), F.sum("collision_groups").alias("collision_groups"))
+    return by.orderBy("collision_rate", "unique_change", "strategy")
+
+
 def name_overlap(df: DataFrame, column: str, sources: Sequence[str]) -> DataFrame:
     """Distinct values of a column that two sources share: (left_source, right_source, shared_values)."""
     own = df.select("source", F.col(column).alias("v")).distinct().groupBy("v").agg(F.collect_set("source").alias("s"))

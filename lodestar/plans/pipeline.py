@@ -16,8 +16,11 @@ from lodestar.operators import evaluation as E
 from lodestar.operators import features as Fe
 from lodestar.operators import matcher as M
 from lodestar.operators import outputs as O
+from lodestar.operators import validator as V
 from lodestar.operators.records import prepare
 from lodestar.operators.resolve import decide, id_lists
+from lodestar.plans.experiments import experiment_record
+from lodestar.sources.reports import write_json
 from lodestar.sources.shared import written
 from lodestar.sources.tables import load_ground_truth, load_split
 
@@ -107,13 +110,18 @@ def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
 
 
 def run_all(spark: SparkSession, config: Config) -> dict:
-    """Fit on the training split, infer on the test split, check and write both lists; returns the summary."""
+    """Fit on the training split, infer on the test split, check and write both lists; returns the summary, also written as summary.json."""
     artifacts, summary = fit(load_split(spark, config, "train"), load_ground_truth(spark, config), config)
     save_artifacts(artifacts, f"{config.output.folder}/artifacts")
     records = written(prepare(load_split(spark, config, "test"), config.schema, config.normalization))
     result = run_inference(records, artifacts, config)
     reference, candidates = sides(records, config.dataset.sources[0])
-    return summary | {"files": O.generate_outputs(reference, candidates, result.pairs, result.decided, config)}
+    files = O.generate_outputs(reference, candidates, result.pairs, result.decided, config)
+    own, *others = [f"{config.dataset.root}/test/test_{s}.tsv" for s in config.dataset.sources]
+    report = V.validate(spark, own, files[config.output.matches], files[config.output.candidates], others, config.schema)
+    summary |= {"files": files, "validator": {"errors": report.errors, "warnings": report.warnings}}
+    write_json(spark, f"{config.output.folder}/summary.json", experiment_record(summary))
+    return summary
 
 
 def main(args: list[str] | None = None) -> int:

@@ -17,7 +17,9 @@ from lodestar.operators import outputs as O
 from lodestar.operators import profiling as P
 from lodestar.operators import resolve as D
 from lodestar.operators.records import prepare
+from lodestar.plans import experiments as X
 from lodestar.plans import sql as S
+from lodestar.plans.pipeline import COMPARED
 from lodestar.sources.shared import written
 from lodestar.sources.tables import records_from_documents
 
@@ -117,11 +119,6 @@ def check(f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: f(faulty(spark, sf), *sides(records(spark, sf)))
 
 
-_STRATEGIES = {
-    "plain": lambda: T.simple_strategy(F.col("business_name"), punctuation=False), "no punctuation": lambda: T.simple_strategy(F.col("business_name")),
-    "sorted words": lambda: T.simple_strategy(F.col("business_name"), sort_words=True),
-    "no suffixes": lambda: T.simple_strategy(F.col("business_name"), sort_words=True, remove_suffixes=True),
-}
 _COLUMNS = ["entity_id", "business_name", "business_address", "country"]
 _PLAIN = [f for f in Fe.ALL_FEATURES if "tfidf" not in f and "character" not in f and not f.endswith("_source") and f not in ("address_prefix_similarity", "address_suffix_similarity")]
 _NGRAM = Blocking(use_ngrams=True)
@@ -141,6 +138,31 @@ def match_scores(spark: SparkSession, sf: str) -> DataFrame:
     return M.predict_probability(model, rows).select(*ID, "target", F.round("score", 6).alias("score"))
 
 
+def simple_strategies(column: str) -> dict[str, Column]:
+    c = F.col(column)
+    return {
+        "plain": T.simple_strategy(c, punctuation=False), "no punctuation": T.simple_strategy(c), "sorted words": T.simple_strategy(c, sort_words=True),
+        "no suffixes": T.simple_strategy(c, sort_words=True, remove_suffixes=True),
+    }
+
+
+def blocking_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    df = written(prepared(spark, sf))
+    return rounded(X.blocking_ablation(*sides(df), written(links(spark, sf))))
+
+
+def experiment(run: Callable[..., DataFrame]) -> Query:
+    """run: of training and validation rows, feature names, and the links and ids of the validation references."""
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        split = written(E.validation_split(truth(spark, sf)))
+        held = written(split.where("is_validation").select(ID[0]))
+        rows = written(labelled_features(spark, sf))
+        own_links = written(links(spark, sf).join(held, ID[0], "left_semi"))
+        return run(rows.join(held, ID[0], "left_anti"), rows.join(held, ID[0], "left_semi"), _LABELLED, own_links, held)
+
+    return query
+
+
 def queries() -> dict[str, Query]:
     own_columns = lambda *c: lambda s, d: records(s, d).select(*c)
     ref = lambda s, d: sides(records(s, d))[0]
@@ -186,11 +208,16 @@ def queries() -> dict[str, Query]:
         "country_counts": lambda s, d: P.country_counts(records(s, d)), "pattern_counts": lambda s, d: P.pattern_counts(records(s, d), _COLUMNS[1:3]),
         "match_histogram": lambda s, d: P.match_histogram(truth(s, d)), "overlap_patterns": lambda s, d: rounded(P.overlap_patterns(truth(s, d))),
         "country_pivot": lambda s, d: P.country_pivot(records(s, d), sources), "length_histogram": lambda s, d: rounded(P.length_histogram(records(s, d), "business_name")),
-        "normalization_collisions": lambda s, d: rounded(P.normalization_collisions(records(s, d), "business_name", {k: v() for k, v in _STRATEGIES.items()})),
+        "normalization_collisions": lambda s, d: rounded(P.normalization_collisions(records(s, d), "business_name", simple_strategies("business_name"))),
         "name_overlap": lambda s, d: P.name_overlap(prepared(s, d), "name_normalized", sources),
         "variations": lambda s, d: P.variations(prepared(s, d), "business_name", "name_normalized"),
         "feature_summary": lambda s, d: rounded(Fe.feature_summary(labelled_features(s, d), _LABELLED)),
         "feature_spearman": lambda s, d: rounded(Fe.correlated(labelled_features(s, d), _LABELLED, 0.0)), "match_scores": match_scores,
+        "strategy_comparison": lambda s, d: rounded(P.strategy_comparison(records(s, d), {c: simple_strategies(c) for c in _COLUMNS[1:]})),
+        "strategy_summary": lambda s, d: rounded(P.strategy_summary(P.strategy_comparison(records(s, d), {c: simple_strategies(c) for c in _COLUMNS[1:]}))),
+        "singletons_with_candidates": lambda s, d: B.singletons_with_candidates(candidates(s, d), links(s, d), ref(s, d)),
+        "blocking_ablation": blocking_ablation, "feature_ablation": experiment(X.feature_ablation),
+        "experiment_table": experiment(lambda *a: X.experiment_table(*a, kinds=COMPARED).drop("seconds")),
     }
 
 
@@ -222,16 +249,21 @@ def oracle_sql() -> dict[str, str]:
     toks = r"len(regexp_extract_all({c}, '[\p{{L}}\p{{M}}\p{{N}}_]+'))"
     strategies = {"plain": (False, False, False), "no punctuation": (True, False, False), "sorted words": (True, True, False), "no suffixes": (True, True, True)}
 
-    def strategy(name: str, punct: bool, sort: bool, drop: bool) -> str:
-        x = S.norm("business_name") if punct else S.norm("business_name").replace(r"regexp_replace(lower(", "(lower(", 1).replace(r", '[^\w\s]', ' ', 'g')", ")", 1)
+    def strategy(name: str, punct: bool, sort: bool, drop: bool, c: str = "business_name") -> str:
+        x = S.norm(c) if punct else S.norm(c).replace(r"regexp_replace(lower(", "(lower(", 1).replace(r", '[^\w\s]', ' ', 'g')", ")", 1)
         w = S.words(x)
         if drop:
             w = f"list_filter({w}, lambda t: not list_contains({S._LIST(S.LEGAL_SUFFIXES)}, t))"
-        return f"select '{name}' as strategy, business_name as raw, array_to_string({f'list_sort({w})' if sort else w}, ' ') as norm from rec"
+        return f"select source, '{c}' as column_name, '{name}' as strategy, coalesce({c}, '') as raw, array_to_string({f'list_sort({w})' if sort else w}, ' ') as norm from rec"
 
     collisions = " union all ".join(strategy(k, *v) for k, v in strategies.items())
+    compared = " union all ".join(strategy(k, *v, c) for c in _COLUMNS[1:] for k, v in strategies.items())
+    key = "source, column_name, strategy"
+    compared = f"""with {S.RECORDS}, s as ({compared}), u as (select {key}, norm, count(distinct raw) as n from s group by all),
+comparison as (select {key}, sum(n)::bigint as raw_unique, count(*) as normalized_unique, (count(*) - sum(n))::bigint as unique_change,
+    count(*) filter (n > 1) as collision_groups, count(*) filter (n > 1) / count(*)::double as collision_rate from u group by all)"""
     summary = " union all ".join(
-        f"select '{f}' as feature, min({f}) as minimum, max({f}) as maximum, round(avg({f}), 6) as mean, 0::bigint as nulls, round(avg({f}) filter (target = 1), 6) as mean_positive, round(avg({f}) filter (target = 0), 6) as mean_negative, round(avg({f}) filter (target = 1) - avg({f}) filter (target = 0), 6) as difference from q"
+        f"select '{f}' as feature, min({f}) as minimum, max({f}) as maximum, round(avg({f}), 6) as mean, 0::bigint as nulls, 0::bigint as infinities, round(avg({f}) filter (target = 1), 6) as mean_positive, round(avg({f}) filter (target = 0), 6) as mean_negative, round(avg({f}) filter (target = 1) - avg({f}) filter (target = 0), 6) as difference from q"
         for f in _LABELLED
     )
     found = {
@@ -282,6 +314,9 @@ def oracle_sql() -> dict[str, str]:
         "name_overlap": f"with {S.PREPARED} " + " union all ".join(f"select '{a}' as left_source, '{b}' as right_source, (select count(*) from (select name_normalized from prep where source = '{a}' intersect select name_normalized from prep where source = '{b}')) as shared_values" for a, b in (("S1", "S2"), ("S1", "S3"), ("S2", "S3"))),
         "variations": f"with {S.PREPARED} select distinct business_name, name_normalized from prep where business_name <> name_normalized order by encode(business_name), name_normalized limit 20",
         "feature_summary": f"{cand}, {S.JOINED}, {S.LINKS}, q as (select {', '.join(f'{S.FEATURES[f]} as {f}' for f in _LABELLED)}, (l.reference_entity_id is not null)::int as target from looked p left join links l using ({S.ID})) {summary}",
+        "strategy_comparison": f"{compared} select * replace (round(collision_rate, 6) as collision_rate) from comparison",
+        "strategy_summary": f"{compared} select strategy, round(avg(unique_change), 6) as unique_change, round(avg(collision_rate), 6) as collision_rate, sum(collision_groups)::bigint as collision_groups from comparison group by 1",
+        "singletons_with_candidates": f"{cand}, {S.LINKS}, {S.ENTITIES}, alone as (select * from own where reference_entity_id not in (select reference_entity_id from links)) select (select count(*) from alone) as singletons, (select count(*) from alone where reference_entity_id in (select reference_entity_id from pairs)) as singletons_with_candidates",
     }
     return found
 

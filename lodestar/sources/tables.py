@@ -93,7 +93,46 @@ def records_from_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """A small file of this text, in place of one that is there."""
+    p, fs = _file_system(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return path
+
+
 def write_delimited(df: DataFrame, path: str, separator: str = "\t") -> str:
-    """One file with a header below the folder ``path``, quoted only where needed; returns the file's path."""
-    df.coalesce(1).write.mode("overwrite").options(sep=separator, header=True, emptyValue="", quote='"', escape='"', lineSep="\n").csv(path)
-    return files_matching(df.sparkSession, f"{path}/part-*.csv")[0]
+    """The file ``path`` with a header, rows in their order, quoted only where needed; returns ``path``.
+
+    Tasks write the parts side by side; the driver's JVM then joins their bytes one buffer at a time, so that no task
+    holds all rows. The file is moved to its name when it is whole; one that is there is replaced.
+    """
+    spark = df.sparkSession
+    parts, whole = f"{path}.parts", f"{path}.whole"
+    df.write.mode("overwrite").options(sep=separator, header=False, emptyValue="", quote='"', escape='"', lineSep="\n").csv(parts)
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in (separator, '"', "\n")) else c
+    target, fs = _file_system(spark, path)
+    temporary, _ = _file_system(spark, whole)
+    out = fs.create(temporary, True)
+    try:
+        out.write(bytearray((separator.join(map(quoted, df.columns)) + "\n").encode()))
+        for part in files_matching(spark, f"{parts}/part-*.csv"):
+            source = fs.open(spark._jvm.org.apache.hadoop.fs.Path(part))
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+    fs.delete(target, False)
+    fs.rename(temporary, target)
+    fs.delete(_file_system(spark, parts)[0], True)
+    return path

@@ -6,13 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.config import Config, ConfigurationError, Features, Sweep, config_from_json, config_from_mapping
+from lodestar.operators import blocking as B
 from lodestar.operators import evaluation as E
 from lodestar.operators import features as Fe
 from lodestar.operators import matcher as M
 from lodestar.operators import outputs as O
 from lodestar.operators import validator as V
+from lodestar.operators.records import prepare
+from lodestar.plans import experiments as X
 from lodestar.plans import pipeline
-from lodestar.sources import tables
+from lodestar.sources import reports, tables
 from lodestar.streaming import stream_records
 
 HEAD = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
@@ -58,6 +61,7 @@ def test_end_to_end(spark, tmp_path):
     got = dict(line.split("\t") for line in open(files["matching_results.tsv"].removeprefix("file:")).read().splitlines()[1:])
     assert list(got) == [a for a, _ in links]
     assert sum(got[a] == b for a, b in links) > 0.9 * len(links)
+    assert json.load(open(f"{config.output.folder}/summary.json"))["validator"] == {"errors": [], "warnings": []}
     report = V.validate(spark, f"{data}/test/test_source1.tsv", files["matching_results.tsv"], files["candidate_pairs.tsv"], [f"{data}/test/test_source{s}.tsv" for s in "23"])
     assert report == V.Report()
     loaded = pipeline.load_artifacts(spark, f"{config.output.folder}/artifacts")
@@ -162,6 +166,36 @@ def test_outputs_are_refused(spark):
     own = ref.withColumn("row_index", F.when(F.col("entity_id") == "S1-1", 0).otherwise(1))
     turned = lists("x", [("S1-1", ""), ("S1-2", "")]).withColumn("row_index", F.when(F.col("source1_entity_id") == "S1-1", 1).otherwise(0))
     assert O.out_of_order(own, turned).count() == 1
+    gap = turned.withColumn("row_index", F.when(F.col("row_index") == 1, 7 << 33).otherwise(0))
+    assert O.out_of_order(own, gap).count() == 1
+
+
+def test_reports(spark, tmp_path):
+    df = spark.range(100, numPartitions=7).select("id", F.when(F.col("id") == 3, 'a\t"b"').otherwise("").alias("x"))
+    for _ in range(2):
+        path = tables.write_delimited(df, f"{tmp_path}/out.tsv")
+    assert open(path).read() == "id\tx\n" + "".join(f"{i}\t" + ('"a\t""b"""' if i == 3 else "") + "\n" for i in range(100))
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["out.tsv"]
+    assert open(tables.write_delimited(df.limit(0), f"{tmp_path}/none.tsv")).read() == "id\tx\n"
+    text = open(reports.write_markdown(spark, f"{tmp_path}/r.md", "T", ["n"], {"rows": spark.createDataFrame([("a|b", None)], "x string, y int")})).read()
+    assert text == "# T\n\n- n\n\n## rows\n\n| x | y |\n| --- | --- |\n| a\\|b |  |\n"
+    assert X.experiment_record({"a": 1, "b": "c"}, "e") == {"experiment_name": "e", "a": 1.0, "b": "c"}
+
+
+def test_blocking_ablation(spark, tmp_path):
+    make(tmp_path, "train", 1, True)
+    df = prepare(tables.load_sources(spark, {f"source{s}": f"{tmp_path}/train/train_source{s}.tsv" for s in "123"}))
+    links = B.truth_links(tables.load_table(spark, f"{tmp_path}/train/train_ground_truth.tsv"))
+    ref, cand = pipeline.sides(df, "source1")
+    got = {r.run: r for r in X.blocking_ablation(ref, cand, links).collect()}
+    assert set(got) == set(X.BLOCKING_RUNS)
+    union = {tuple(r) for r in B.generate_candidates(ref, cand).select(*B.PAIR[1::2]).collect()}
+    true = {tuple(r) for r in links.collect()}
+    for run, settings in X.blocking_runs().items():
+        own = {tuple(r) for r in B.generate_candidates(ref, cand, settings).select(*B.PAIR[1::2]).collect()}
+        assert got[run].missed_of_union == len(true & union - own) and got[run].candidate_recall == len(true & own) / len(true)
+    one = B.singletons_with_candidates(B.generate_candidates(ref, cand), links, ref).first()
+    assert one.singletons == 60 - len({a for a, _ in true})
 
 
 def test_stream(spark, tmp_path):
