@@ -69,9 +69,13 @@ def bad_prefixes(lists: DataFrame, column: str, own: str = "S1-", others: Sequen
 
 def not_candidates(matches: DataFrame, candidates: DataFrame, schema: Schema = Schema()) -> DataFrame:
     """Matches that aren't among the candidates of their reference record."""
-    m = matches.select(schema.truth_id, F.explode(ids_of(schema.truth_matches)).alias("id"))
-    c = candidates.select(schema.truth_id, F.explode(ids_of(schema.candidates)).alias("id"))
-    return m.join(c, [schema.truth_id, "id"], "left_anti").select(*_finding("not a candidate", F.col(schema.truth_id), F.col("id")))
+    m = matches.select(schema.truth_id, ids_of(schema.truth_matches).alias("ids")).where(F.size("ids") > 0)
+    # lists meet whole, one row for each reference record; the lists of a repeated one are taken together
+    c = candidates.groupBy(schema.truth_id).agg(F.flatten(F.collect_list(ids_of(schema.candidates))).alias("known"))
+    known = F.coalesce("known", F.array().cast("array<string>"))
+    odd = m.join(c, schema.truth_id, "left").select(schema.truth_id, "ids", known.alias("known"))
+    odd = odd.select(schema.truth_id, F.explode(F.filter("ids", lambda x: ~F.array_contains("known", x))).alias("id"))
+    return odd.select(*_finding("not a candidate", F.col(schema.truth_id), F.col("id")))
 
 
 def out_of_order(reference: DataFrame, lists: DataFrame, schema: Schema = Schema()) -> DataFrame:
