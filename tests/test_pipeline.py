@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.config import Config, ConfigurationError, Features, Sweep, config_from_json, config_from_mapping
+from lodestar.config import Blocking, Config, ConfigurationError, Features, Sweep, config_from_json, config_from_mapping
 from lodestar.operators import blocking as B
 from lodestar.operators import evaluation as E
 from lodestar.operators import features as Fe
@@ -205,3 +205,47 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.name_normalized, r.address_normalized, r.source) for r in spark.sql("select * from records").collect()] == [("cafe", "1 main st", "source2")]
+
+
+def _blocks(spark):
+    rows = [(f"S1-{i}", "S1", f"red lamp {i % 7}", f"{i % 5} oak street", "en" if i % 3 else "") for i in range(40)]
+    rows += [(f"S2-{i % 50}", "S2", f"red lamp {i % 11}", f"{i % 4} elm street", "en" if i % 4 else "fr") for i in range(60)]
+    df = prepare(spark.createDataFrame(rows + rows[:3], "entity_id string, source string, business_name string, business_address string, country string"))
+    return df.where("source = 'S1'"), df.where("source <> 'S1'")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocked_is_every_pair_and_deals_none_out(spark):
+    ref, cand = _blocks(spark)
+    for methods in (["name_token", "name_prefix"], ["address_token", "locality_token", "country_name"]):
+        want = B.merged(B.block(ref, cand, methods))
+        got = B.blocked(ref, cand, methods)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+        assert "Join" not in _plan(got) and "Aggregate" not in _plan(got)
+
+
+def test_first_candidates_of_each_reference(spark):
+    from collections import defaultdict
+
+    ref, cand = _blocks(spark)
+    settings = Blocking(max_candidates=7)
+    everyone = defaultdict(list)
+    for r in B.merged(B.block(ref, cand, settings.probed)).collect():
+        everyone[r[0], r[1]].append((r[2], r[3], tuple(r[4])))
+    want = {(*k, *v) for k, found in everyone.items() for v in sorted(found)[:7]}
+    pairs = B.chunked_candidates(ref, cand, settings)
+    assert {(*r[:4], tuple(r[4])) for r in B.generate_candidates(ref, cand, settings).collect()} == want
+    assert pairs.count() == len(want)
+    # joins find the pairs where they lie: no exchange by the candidate's id
+    links = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S2-99")], "reference_entity_id string, candidate_entity_id string")
+    assert sorted(map(tuple, B.found_links(pairs, links).collect())) == sorted({(a, b) for _, a, _, b, _ in want} & {("S1-1", "S2-1"), ("S1-2", "S2-99")})
+
+
+def test_spread_fills_every_partition_once(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(x,) for x in B._spread(13)], "x int").repartition(13, "x").select("x", F.spark_partition_id().alias("p"))
+    assert sorted(r.p for r in rows.collect()) == list(range(13))
