@@ -249,3 +249,24 @@ def test_spread_fills_every_partition_once(spark):
 
     rows = spark.createDataFrame([(x,) for x in B._spread(13)], "x int").repartition(13, "x").select("x", F.spark_partition_id().alias("p"))
     assert sorted(r.p for r in rows.collect()) == list(range(13))
+
+
+def test_ablation_is_that_of_each_run_and_reads_records_once(spark):
+    ref, cand = _blocks(spark)
+    links = spark.createDataFrame([(f"S1-{i}", f"S2-{j}") for i in range(12) for j in (i, i + 30, 99)], "reference_entity_id string, candidate_entity_id string")
+    settings, runs = Blocking(max_candidates=9), {"names": {"enabled_methods": ("name_token",)}, "grams": {"enabled_methods": ("name_ngram",), "use_ngrams": True}, "few": {"max_candidates": 3, "use_country": False}}
+    made = []
+
+    def counted(*a, f=B._ranked):
+        made.append(a)
+        return f(*a)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(B, "_ranked", counted)
+        got = {r.run: r for r in X.blocking_ablation(ref, cand, links, settings, runs).collect()}
+    assert len(made) == 1 and set(got) == set(runs)
+    union = B.found_links(B.generate_candidates(ref, cand, settings), links)
+    for run, own in X.blocking_runs(settings, runs).items():
+        pairs = B.generate_candidates(ref, cand, own)
+        want = B.blocking_metrics(pairs, links).first().asDict() | {"run": run, "missed_of_union": B.missed_links(pairs, union).count()}
+        assert got[run].asDict() == pytest.approx(want)
