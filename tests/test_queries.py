@@ -32,3 +32,11 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(Q.queries()) <= set(__spark_entry__.queries())
+
+
+def test_links_deal_out_no_texts(spark, small):
+    plan = Q.links(spark, small)._jdf.queryExecution().optimizedPlan()
+    while not plan.nodeName().startswith("Join"):
+        plan = plan.children().head()
+    sides = [plan.children().apply(i).schema().simpleString() for i in (0, 1)]
+    assert all("t:binary" in s for s in sides)
