@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.config import Config, Schema
 from lodestar.functions.text import text_of
+from lodestar.operators.blocking import CHUNK
 from lodestar.operators.resolve import candidate_lists, match_lists
 from lodestar.sources.tables import check_columns, load_table, write_delimited
 
@@ -69,11 +70,13 @@ def bad_prefixes(lists: DataFrame, column: str, own: str = "S1-", others: Sequen
 
 def not_candidates(matches: DataFrame, candidates: DataFrame, schema: Schema = Schema()) -> DataFrame:
     """Matches that aren't among the candidates of their reference record."""
-    m = matches.select(schema.truth_id, ids_of(schema.truth_matches).alias("ids")).where(F.size("ids") > 0)
+    # lists of the same pairs meet where they lie
+    by = [schema.truth_id, *[c for c in (CHUNK,) if c in matches.columns and c in candidates.columns]]
+    m = matches.select(*by, ids_of(schema.truth_matches).alias("ids")).where(F.size("ids") > 0)
     # lists meet whole, one row for each reference record; the lists of a repeated one are taken together
-    c = candidates.groupBy(schema.truth_id).agg(F.flatten(F.collect_list(ids_of(schema.candidates))).alias("known"))
+    c = candidates.groupBy(*by).agg(F.flatten(F.collect_list(ids_of(schema.candidates))).alias("known"))
     known = F.coalesce("known", F.array().cast("array<string>"))
-    odd = m.join(c, schema.truth_id, "left").select(schema.truth_id, "ids", known.alias("known"))
+    odd = m.join(c, by, "left").select(schema.truth_id, "ids", known.alias("known"))
     odd = odd.select(schema.truth_id, F.explode(F.filter("ids", lambda x: ~F.array_contains("known", x))).alias("id"))
     return odd.select(*_finding("not a candidate", F.col(schema.truth_id), F.col("id")))
 

@@ -40,3 +40,12 @@ def test_links_deal_out_no_texts(spark, small):
         plan = plan.children().head()
     sides = [plan.children().apply(i).schema().simpleString() for i in (0, 1)]
     assert all("t:binary" in s for s in sides)
+
+
+def test_subset_check_finds_pairs_once_and_deals_out_no_lists(spark, small, monkeypatch):
+    made = []
+    chunked = Q.B.chunked_candidates
+    monkeypatch.setattr(Q.B, "chunked_candidates", lambda *a, **b: made.append(a) or chunked(*a, **b))
+    df = Q.queries()["check_subset"](spark, small)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert len(made) == 1 and Q.B.CHUNK in next(line for line in plan.splitlines() if "LeftOuter" in line)
