@@ -244,6 +244,15 @@ def test_first_candidates_of_each_reference(spark):
     assert sorted(map(tuple, B.found_links(pairs, links).collect())) == sorted({(a, b) for _, a, _, b, _ in want} & {("S1-1", "S2-1"), ("S1-2", "S2-99")})
 
 
+def test_what_chunks_have_found_is_not_dealt_out_again(spark):
+    ref, cand = _blocks(spark)
+    pairs = B.chunked_candidates(ref, cand, fields=("country_normalized",))
+    assert pairs.count()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    found = [line for line in plan.splitlines() if "FileScan" in line and "codes" in line]
+    assert found and all("Bucketed: true" in line for line in found)
+
+
 def test_spread_fills_every_partition_once(spark):
     from pyspark.sql import functions as F
 
