@@ -66,7 +66,15 @@ def test_exact_flags_deal_out_digests(spark, small, monkeypatch):
     assert dealt == {f"{side}_{f}": t for side in "lr" for f, t in (("country_normalized", "string"), ("name_digest", "binary"), ("address_digest", "binary"))}
 
 
-@pytest.mark.parametrize("names", [["name_exact", "address_exact", "country_exact", "country_compatible", "name_address_exact"]])
+def test_lengths_are_dealt_out_alone(spark, small, monkeypatch):
+    dealt = _fields_dealt(spark, small, "feat_length", monkeypatch)
+    assert dealt == {f"{side}_{f}": "int" for side in "lr" for f in ("name_length", "address_length", "name_token_count")}
+
+
+@pytest.mark.parametrize("names", [
+    ["name_exact", "address_exact", "country_exact", "country_compatible", "name_address_exact"],
+    ["name_length_difference", "address_length_difference", "name_token_count_difference", "missing_name", "missing_address", "missing_country"],
+])
 def test_features_of_summaries_are_those_of_texts(spark, names):
     texts = ["", "a", "a b", "b a", "x" * 70]
     rows = [("S1" if i % 2 else "S2", str(i), n, a, c, n.split(), a.split(), [], []) for i, (n, a, c) in enumerate((n, a, c) for n in texts for a in texts for c in ("", "en", "fr"))]
