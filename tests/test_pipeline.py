@@ -227,6 +227,36 @@ def test_blocked_is_every_pair_and_deals_none_out(spark):
         assert "Join" not in _plan(got) and "Aggregate" not in _plan(got)
 
 
+@pytest.mark.parametrize("at_once, rare", [(200_000, 128), (5, 1), (200_000, 4)])
+def test_blocked_names_no_record_per_pair(spark, at_once, rare):
+    import pyarrow as pa
+
+    rows = [("S2", f"S2-{i}", "", [f"\nall\nk{i % 3}", f"\nown{i}"]) for i in range(30)] + [("S3", "S3-1", "fr", ["\nall", ""])] * 2
+    asked = [("S1", "S1-1", "en", ["\nk1\nnone", "\nown4"]), ("S1", "S1-1", "en", ["\nall", ""]), ("S1", "S1-2", "fr", ["\nk2", "\nown5\nown6"]), ("S1", "S1-3", "", ["\nno", ""])]
+    table = pa.table({n: [x[i] for x in rows + asked] for i, n in enumerate(("source", "id", "country"))} | {f"k{j}": [x[3][j] for x in rows + asked] for j in (0, 1)})
+    table = pa.concat_tables([table, table])
+    cells, sides = [1] * 36 + [2] * 36, ([0] * 32 + [1] * 4) * 2
+    table = pa.table([cells, sides, [True] * 72, *table.columns], names=["cell", "side", "gated", *table.column_names])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(B, "_PAIRS_AT_ONCE", at_once)
+        patch.setattr(B, "_RARE", rare)
+        out = [b.to_pylist()[0] for b in B._met(2)(iter(table.to_batches(max_chunksize=7)))]
+    got, low = [], (1 << B._BELOW) - 1
+    for r in out:
+        assert len(set(r["candidate_ids"])) == len(r["candidate_ids"]) == 31
+        got += [(r["reference_ids"][c >> B._BELOW], r["candidate_ids"][(c & low) >> 2], c & 3) for c in r["codes"]]
+    want = {("S1-1", f"S2-{i}"): 1 | (i == 4) << 1 for i in range(30)} | {("S1-2", f"S2-{i}"): (i % 3 == 2) | (i in (5, 6)) << 1 for i in range(30) if i % 3 == 2 or i == 6}
+    assert sorted(got) == sorted([(*k, v) for k, v in want.items()] * 2)
+
+
+def test_blocked_joins_the_methods_of_a_pair(spark):
+    ref, cand = _blocks(spark)
+    for methods in (["address_token"], ["name_token", "name_prefix", "country_name"]):
+        want = B.merged(B.block(ref, cand, methods)).collect()
+        got = B.blocked(ref, cand, methods, separator=",").collect()
+        assert sorted(map(tuple, got)) == sorted((*r[:4], ",".join(r[4])) for r in want)
+
+
 def test_first_candidates_of_each_reference(spark):
     from collections import defaultdict
 
